@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import inputs
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +14,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix_sources(spark, inputs(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLES = {
@@ -26,4 +33,27 @@ ORACLES = {
                           count(*) OVER (PARTITION BY text_sha256) AS group_size
                    FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""",
+    "op9_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+             s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+             r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+             w AS (SELECT *, [5, 2, 1][place % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM r),
+             l AS (SELECT *, cap / weight AS level,
+                          1.5::DOUBLE * (SELECT sum(source_size)::BIGINT FROM s) AS budget FROM w),
+             u AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY level, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+                          (sum(weight) OVER (ORDER BY level, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest FROM l),
+             o AS (SELECT *, (budget - used) / rest AS rate FROM u),
+             t AS (SELECT source, place, source_size,
+                          coalesce(least(cap, (SELECT arg_min(rate, (level, place)) FROM o WHERE rate < level) * weight), cap) AS target FROM o),
+             q AS (SELECT d.doc_id, d.size, d.h, t.source_size, t.target, t.place,
+                          (sum(d.size) OVER (PARTITION BY t.place ORDER BY d.h, d.doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS e
+                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+             x AS (SELECT *, (e + turn * source_size) / CASE WHEN target > 0 THEN target END AS finish
+                   FROM q CROSS JOIN (SELECT unnest([0, 1]) AS turn)),
+             c AS (SELECT *, (sum(size) OVER (ORDER BY finish, place, turn, h, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS up_to,
+                          (SELECT floor(sum(target)) FROM t)::BIGINT AS budget FROM x WHERE finish IS NOT NULL),
+             k AS (SELECT doc_id, place, e, sum(greatest(0, least(size, size - (up_to - budget)))) AS taken FROM c GROUP BY ALL)
+        SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken
+        FROM q LEFT JOIN k ON k.doc_id = q.doc_id AND k.place = q.place AND k.e = q.e""",
 }
