@@ -63,7 +63,9 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_batch: int) -
     checkpoint = scratch_path(spark, "dedup-state")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     keyed = stream.groupBy("digest").agg(F.min(_first()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS):
+    # Without preallocated files a state of many small partitions takes the disk it needs.
+    small = {"spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false"}
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, **small):
         query = (
             keyed.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
             .option("checkpointLocation", checkpoint).start()

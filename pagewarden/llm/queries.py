@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import inputs
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .secrets import scan_secrets
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(spark, inputs(spark, sf_dir, "documents")).drop("all_spans")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix_sources(spark, inputs(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -21,6 +26,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
 }
 
