@@ -24,11 +24,11 @@ from .common import persist, text_of
 # The patterns of the three base kinds and how long a match must be.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the same as runs of AKIA[A-Z0-9]+ that have 20 or more characters
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 ASSIGN_VALUE = 6
 #: Kinds in the order of listing.
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: name, full-match pattern, alphabet in order, chance that two characters of ordinary writing coincide.
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125),
@@ -77,10 +77,15 @@ def joined(spans: Column) -> Column:
 
 def normal_above(z: Column) -> Column:
     """Upper tail of the standard normal distribution (a published rational approximation, error under 1e-7)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) / 2.5066282746310002 * series
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(v: Column) -> Column:
+        t = F.transform(F.array(1 / (1 + 0.2316419 * F.abs(v))), lambda t: t * (0.319381530 + t * (-0.356563782 + t * (
+            1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+        above = F.exp(-v * v / 2) / 2.5066282746310002 * F.get(t, F.lit(0))
+        return F.when(v >= 0, above).otherwise(1 - above)
+
+    # A lambda over one element binds z, so that it is worked out once.
+    return F.get(F.transform(F.array(z.cast("double")), tail), F.lit(0))
 
 
 def battery(tokens: DataFrame) -> DataFrame:
@@ -129,13 +134,14 @@ def battery(tokens: DataFrame) -> DataFrame:
     return rows.drop("core", "alphabet", "kappa", "m", "squares", "cubes", "x", "pairs", "runs", "above", "mean", "power", "lagged")
 
 
-def discoveries(tokens: DataFrame, rate: float, reject: float) -> DataFrame:
+def discoveries(spark: SparkSession, tokens: DataFrame, rate: float, reject: float) -> DataFrame:
     """The tokens that pass the battery and the false-discovery limit of their class of lengths."""
     tested = battery(tokens)
     tested = tested.withColumn("random", F.least("p_chi", "p_runs", "p_serial") >= reject)
     p = F.greatest("p_ordinary", F.lit(1e-90))
     level = F.least(F.floor(-F.log10(p) * BINS_PER_DECADE), F.lit(MOST_BINS)).cast("int")
     tested = tested.withColumn("level", F.greatest(level, F.lit(0))).withColumn("class", F.floor(F.log2("n")).cast("int"))
+    tested = persist(spark, tested, "secrets-tested")
     bins = tested.groupBy("class", "level").agg(
         F.count(F.lit(1)).alias("tests"), F.count(F.when(F.col("random"), 1)).alias("passed"))
     whole = Window.partitionBy("class")
@@ -172,7 +178,7 @@ def scan_secrets(
     )
     rows = persist(spark, rows, "secrets-found")
     tokens = rows.where(F.size("candidates") > 0).select("row", F.inline("candidates"))
-    random = discoveries(tokens, rate, reject)
+    random = discoveries(spark, tokens, rate, reject)
     one = F.struct("start", F.lit(3).alias("kind"), "end")
     random = random.groupBy("row").agg(F.collect_list(one).alias("random"))
     rows = rows.join(random, "row", "left")
