@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import inputs
 from .exact_dedup import exact_dedup
+from .language import identify_languages
 from .mixing import mix_sources
 from .secrets import scan_secrets
+from .toxicity import score_toxicity
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(spark, inputs(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(spark, inputs(spark, sf_dir, "documents")).drop("all_spans")
 
@@ -24,10 +30,16 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(inputs(spark, sf_dir, "documents"), inputs(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
