@@ -8,6 +8,7 @@ from .common import inputs
 from .exact_dedup import exact_dedup
 from .language import identify_languages
 from .mixing import mix_sources
+from .packing import pack
 from .secrets import scan_secrets
 from .token_files import token_files
 from .toxicity import score_toxicity
@@ -18,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, inputs(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, inputs(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
