@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import inputs
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_join
 from .language import identify_languages
 from .mixing import mix_sources
 from .packing import pack
@@ -27,6 +28,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, inputs(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard_join(spark, inputs(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id", "rep_id", "n_links")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(spark, inputs(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
