@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import inputs
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
+from .kdtree import exact_top_k, integer_vector
 from .language import identify_languages
 from .mixing import mix_sources
 from .packing import pack
@@ -15,6 +17,11 @@ from .token_files import token_files
 from .toxicity import score_toxicity
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = inputs(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), integer_vector("embedding").alias("v"))
+    return exact_top_k(spark, vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup(spark, inputs(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -51,6 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
@@ -62,6 +70,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_exact_top_k": r"""
+        WITH e AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v::DOUBLE[], e.v::DOUBLE[])::BIGINT AS score
+                   FROM e AS q JOIN e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
