@@ -13,6 +13,7 @@ from .language import identify_languages
 from .mixing import mix_sources
 from .packing import pack
 from .secrets import scan_secrets
+from .suffix import remove_repeats
 from .token_files import token_files
 from .toxicity import score_toxicity
 
@@ -40,6 +41,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "class_id", "rep_id", "n_links")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, inputs(spark, sf_dir, "documents")).drop("span_begin", "span_end")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(spark, inputs(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
