@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,25 @@ def persist(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings (dots written as two underscores) for the time of an action."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows, for whole texts: a batch is held twice on its way to Python."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all scratch tables.  Call it only when no unread result depends on them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{FOLDER}")

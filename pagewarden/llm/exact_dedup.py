@@ -15,30 +15,14 @@ with a third of all rows is one row per task after the first step.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, persist, scratch_path, text_of
+from .common import BLANKS, persist, scratch_path, settings, text_of
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def settings(spark: SparkSession, **conf: str):
-    """Session settings for the time of an action."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    old = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text: Column) -> Column:
     return F.translate(text, BLANKS, "")
 

@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persist, text_of
-from .tokens import END_ID, Encoder
+from .common import persist, small_batches, text_of
+from .tokens import END_ID, encoder, portions
 
 CAPACITY = 2048
 
@@ -192,12 +192,10 @@ def _pieces(vocabulary: str | None, capacity: int, batches: Iterator[pa.RecordBa
     """Encode, cut, and number the pieces of each length within the task."""
     context = TaskContext.get()
     task = context.partitionId() if context else 0
-    encoder, seen = None, np.zeros(capacity + 1, np.int64)
+    seen = np.zeros(capacity + 1, np.int64)
     for whole in batches:
-        encoder = encoder or Encoder(vocabulary)
-        for i in range(0, whole.num_rows, 2048):
-            batch = whole.slice(i, 2048)
-            ids, bounds = encoder.encode(batch["text"])
+        for batch in portions(whole, "text"):
+            ids, bounds = encoder(vocabulary).encode(batch["text"])
             out: list[tuple] = []
             for doc, a, b in zip(batch["doc_id"].to_pylist(), bounds[:-1], bounds[1:]):
                 body = np.append(ids[a:b], END_ID).astype("<u4")
@@ -222,7 +220,8 @@ def pack(
     are not read.  Sequences are gapless from offset 0.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    pieces = persist(spark, rows.mapInArrow(lambda b: _pieces(vocabulary, capacity, b), PIECES), "pack-pieces")
+    with small_batches(spark):
+        pieces = persist(spark, rows.mapInArrow(lambda b: _pieces(vocabulary, capacity, b), PIECES), "pack-pieces")
     counts = persist(spark, pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     places = Places(plan(histogram, capacity))

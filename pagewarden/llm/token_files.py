@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persist, scratch_path, text_of
-from .tokens import END_ID, Encoder
+from .common import persist, scratch_path, small_batches, text_of
+from .tokens import END_ID, encoder, portions
 
 MAGIC = b"PWTOKMPH"
 HEADER = struct.Struct("<8sIIIQQ")  # magic, version, bytes per id, buckets, keys, ids
@@ -145,26 +145,23 @@ def _write_shard(uri: str, vocabulary: str | None, batches: Iterator[pa.RecordBa
     fs.create_dir(folder, recursive=True)
     name, tag = f"{folder}/{shard:06d}", f".{attempt}.tmp"
     keys, lengths, total = [], [], 0
-    encoder, out, width = None, None, 2
-    last, again = None, 0
+    coder, out, width = None, None, 2
     for batch in batches:
-        if encoder is None:
-            encoder = Encoder(vocabulary)
-            width = 2 if encoder.tok.get_vocab_size() <= 1 << 16 else 4
+        if coder is None:
+            coder = encoder(vocabulary)
+            width = 2 if coder.tok.get_vocab_size() <= 1 << 16 else 4
             out = fs.open_output_stream(f"{name}.ids{tag}")
-        for piece in range(0, batch.num_rows, 2048):
-            part = batch.slice(piece, 2048)
-            ids, bounds = encoder.encode(part["text"])
+        for part in portions(batch, "text"):
+            ids, bounds = coder.encode(part["text"])
             sizes = np.diff(bounds)
             body = np.insert(ids, bounds[1:], END_ID).astype(f"<u{width}")
             out.write(body.tobytes())
             keys.append(part["key"].to_numpy(zero_copy_only=False))
             lengths.append(sizes + 1)
             total += len(body)
-    if encoder is None:
+    if coder is None:
         return
     out.close()
-    del last, again
     key, length = np.concatenate(keys).astype(np.int64), np.concatenate(lengths).astype(np.int64)
     offset = np.cumsum(length) - length
     displacement, slot = build_index(key.astype(np.uint64))
@@ -203,7 +200,8 @@ def write_token_files(
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), text_of(text_col).alias("text"))
     rows = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
     manifest = rows.mapInArrow(lambda batches: _write_shard(uri, vocabulary, batches), MANIFEST)
-    manifest = persist(spark, manifest, "token-manifest")
+    with small_batches(spark):
+        manifest = persist(spark, manifest, "token-manifest")
     # One row per shard; ids in shards follow the order of shard numbers.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))

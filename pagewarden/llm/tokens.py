@@ -9,6 +9,9 @@ followed by white space (where the pattern looks ahead) go to the library whole.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,6 +30,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of this process: its cache serves all tasks of a Python worker."""
+    return Encoder(path)
+
+
+def portions(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most_bytes`` of text (one row at least)."""
+    size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // most_bytes
+    cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 class Encoder:
     """``encode(texts)`` gives (ids uint32 array, offsets int64 array of len+1).
 
@@ -34,7 +53,9 @@ class Encoder:
     pieces are encoded anew in each call, which costs time and changes no result.
     """
 
-    def __init__(self, path: str | None = None, cache_pieces: int = 600_000):
+    def __init__(self, path: str | None = None, cache_pieces: int = 400_000):
+        # One thread for each task; Spark's tasks are the parallelism.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or vocabulary_path())
@@ -58,8 +79,11 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces, each with a blank in front, joined in long texts."""
         n = len(self.at)
-        blocks = ["".join([" " + p for p in pieces[i : i + 20_000]]) for i in range(0, len(pieces), 20_000)]
-        flat = np.concatenate([np.array(ids, np.uint32) for ids in self._whole(blocks)])
+        coded = []  # in blocks: an encoding takes far more memory than its ids
+        for i in range(0, len(pieces), 10_000):
+            block = "".join([" " + p for p in pieces[i : i + 10_000]])
+            coded.append(np.array(self._whole([block])[0], np.uint32))
+        flat = np.concatenate(coded)
         begins = np.flatnonzero(self.opens[flat])
         if len(begins) != len(pieces):
             raise ValueError("a piece does not begin with its blank: not a byte-level vocabulary")
