@@ -24,8 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_inside: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{FOLDER}/{name}-{uuid.uuid4().hex[:12]}"
+    return "/".join([shared_folder(spark), FOLDER, *_inside[-1:], f"{name}-{uuid.uuid4().hex[:12]}"])
+
+
+@contextmanager
+def scratch_folder() -> Iterator[str]:
+    """Scratch tables made inside go to one folder, whose name is given, so that they can be swept together."""
+    name = f"job-{uuid.uuid4().hex[:12]}"
+    _inside.append(name)
+    try:
+        yield name
+    finally:
+        _inside.pop()
 
 
 def persist(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -54,9 +68,9 @@ def small_batches(spark: SparkSession, rows: int = 1000):
     return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all scratch tables.  Call it only when no unread result depends on them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{FOLDER}")
+def sweep(spark: SparkSession, folder: str = "") -> None:
+    """Delete scratch tables, all or those of a folder.  Call it only when no unread result depends on them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join([shared_folder(spark), FOLDER, *([folder] if folder else [])]))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

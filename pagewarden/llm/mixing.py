@@ -145,3 +145,21 @@ def _cut(queue: DataFrame, turns: list, budget: int, slots: int) -> dict | None:
     inside = inside.withColumn("up_to", F.lit(before) + F.sum("size").over(up_to))
     row = inside.where(F.col("up_to") > budget).orderBy("up_to").first()
     return {"at": list(row["turn"]), "part": int(budget - (row["up_to"] - row["size"]))}
+
+
+def mix_documents(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """``docs`` as the mix takes them: rows that are not taken go, rows taken twice are repeated; columns unchanged.
+
+    The document on the cut, which the mix takes in part, stays whole.  Rows that
+    share id, source and size share their turns evenly.
+    """
+    mixed = mix_sources(spark, docs, id_col, text_col, source_col)
+    turns = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
+    turns = mixed.groupBy("doc_id", "source", "size").agg(F.round(F.avg(turns)).cast("int").alias("__turns")).where("__turns > 0")
+    turns = turns.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__n"})
+    sized = docs.withColumn("__size", words_of(text_of(text_col)))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    rows = sized.join(turns, match & (F.col("__size") == F.col("__n")))
+    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__turns")))).select(docs.columns)
