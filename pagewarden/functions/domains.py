@@ -27,7 +27,7 @@ def clean_host(url: Column) -> Column:
     for sign in "/?#":
         s = F.substring_index(s, sign, 1)
     s = F.substring_index(F.substring_index(s, "@", -1), ":", 1)
-    return F.trim(F.lit("."), F.trim(s))
+    return F.trim(F.trim(s), F.lit("."))
 
 
 def without_www(host: Column) -> Column:
@@ -42,19 +42,26 @@ def normalize_domain(raw: Column) -> Column:
 
 def _host_name(raw: Column) -> Column:
     """A valid host name that is no asset file, or null."""
-    h = host_of(F.rtrim(F.lit("."), F.trim(raw)))
+    h = host_of(F.rtrim(F.trim(raw), F.lit(".")))
     h = without_www(F.regexp_replace(h, r"^[*.]+", ""))
-    good = h.rlike(r"^[a-z0-9][a-z0-9.\-]+\.[a-z]{2,}$") & ~h.contains("..") & ~h.rlike(ASSET)
-    return F.when(good, h)
+    valid = lambda h: h.rlike(r"^[a-z0-9][a-z0-9.\-]+\.[a-z]{2,}$") & ~h.contains("..") & ~h.rlike(ASSET)
+    return once(h, lambda h: F.when(valid(h), h))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def registrable(raw: Column) -> Column:
     """The last two labels, or three under a known second level of ``.bd``; null for blocked or invalid hosts."""
-    labels = F.split(_host_name(raw), r"\.")
-    n = F.size(labels)
-    deep = (n >= 3) & (F.element_at(labels, -1) == "bd") & F.element_at(labels, -2).isin(*SECOND_LEVEL)
-    name = F.array_join(F.slice(labels, F.greatest(F.when(deep, n - 2).otherwise(n - 1), F.lit(1)), 3), ".")
-    return F.when(~name.isin(*BLOCKED_DOMAINS), name)
+
+    def join(labels: Column) -> Column:
+        deep = (F.size(labels) >= 3) & (F.get(F.reverse(labels), F.lit(0)) == "bd") & F.get(F.reverse(labels), F.lit(1)).isin(*SECOND_LEVEL)
+        return F.array_join(F.slice(labels, F.greatest(F.size(labels) - F.when(deep, 2).otherwise(1), F.lit(1)), 3), ".")
+
+    name = once(F.split(_host_name(raw), r"\."), join)
+    return once(name, lambda n: F.when(~n.isin(*BLOCKED_DOMAINS), n))
 
 
 def registrable_by_suffix(df: DataFrame, column: str, suffixes: DataFrame, out: str = "registrable") -> DataFrame:
@@ -123,14 +130,14 @@ def valid_cidr(cidr: Column) -> Column:
 
 def parent_path(path: Column) -> Column:
     """The path without its last segment (trailing slashes ignored); ``/`` at the top."""
-    p = F.rtrim(F.lit("/"), path)
+    p = F.rtrim(path, F.lit("/"))
     up = F.regexp_replace(p, r"/?[^/]*$", "")
     return F.when(up == "", "/").otherwise(up)
 
 
 def last_segment(path: Column) -> Column:
     """The last path segment without ``.htm(l)``, lower case."""
-    return F.lower(F.regexp_replace(F.substring_index(F.rtrim(F.lit("/"), path), "/", -1), r"\.html?$", ""))
+    return F.lower(F.regexp_replace(F.substring_index(F.rtrim(path, F.lit("/")), "/", -1), r"\.html?$", ""))
 
 
 def url_path(url: Column) -> Column:

@@ -11,6 +11,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .patterns import FOREIGN, SPACE
 
@@ -27,7 +28,7 @@ def strip_html(text: Column, trim: bool = False) -> Column:
     return F.trim(out) if trim else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """Character references to characters (Spark has no function for it); only texts with an ampersand are touched."""
     return s.map(lambda x: html.unescape(x) if x and "&" in x else x)

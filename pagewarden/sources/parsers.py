@@ -151,7 +151,7 @@ def ranked_list(rows: DataFrame, offset: int, take: int = 25_000) -> tuple[DataF
 def capped(text: Column, most_bytes: int = 170_000) -> Column:
     """The first ``most_bytes`` bytes of a body as text; a character cut in two is dropped."""
     part = F.substring(F.encode(text, "UTF-8"), 1, most_bytes)
-    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.rtrim(F.lit("�"), F.make_valid_utf8(part.cast("string"))))
+    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.rtrim(F.make_valid_utf8(part.cast("string")), F.lit("�")))
 
 
 def either_scheme(captures: DataFrame) -> DataFrame:

@@ -67,7 +67,9 @@ def read_rollup(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 
 def open_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A table of Parquet files as a stream; ``path`` may be a folder or one file (as a pattern, a file may be a source)."""
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 def cached_view(view: DataFrame) -> DataFrame:
