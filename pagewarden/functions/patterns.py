@@ -38,12 +38,11 @@ SPAMMY_DOMAIN = (
     r'casino|cassino|kasino|kasyno|kazino|cazino|slot|togel|toto|judi|gacor|maxwin|sbobet|bocoran|'
     r'1xbet|melbet|betwinner|mostbet|mostplay|parimatch|4rabet|jeetbuzz|jeetwin|jeetbaji|betvisa|bettilt|'
     r'glorycasino|marvelbet|crickex|linebet|pussy888|mega888|joker123|918kiss|bandartogel|'
-    # BD-facing betting brands (baji/babu88/krikya/jaya9 families) + common intl books
     r'baji|babu88|krikya|jaya9|nagad88|smilebet|jilibet|fancywin|crazytime|khelabet|betbuzz|'
     r'bet365|22bet|dafabet|fun88|1win|rajabets|pinup|pin-up|stake\.|wagering|'
     r'pornhub|xvideos|xnxx|sexcam|escortservice')
 SPAMMY_TLD = r'\.(bet|casino|poker|porn|sex|xxx|adult)$'
-# ---- Bangladesh identity ----
+# Letters that show regional identity, and business categories with their order of preference.
 BENGALI = r'[ঀ-৿]'
 CATS = [
     ("healthcare", r'\b(hospital|clinic|medical|healthcare|health|diagnostic|dental|dentist|ortho|cardiac|surgeon|doctor|physiotherapy|laborator|pathology|maternity|homeo|nursing home|gyna?e)\b|হাসপাতাল|ক্লিনিক|চিকিৎসা|ডায়াগনস্টিক|ডেন্টাল|স্বাস্থ্য'),
