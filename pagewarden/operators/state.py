@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.domains import normalize_domain, valid_ip
+from .settle import settle
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -151,8 +152,8 @@ def numbered(rows: DataFrame, order: list, name: str = "row_id") -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
-    # The partition of a row must not change between the two uses: keep the dealt rows.
-    dealt = dealt.persist()
+    # The partition of a row must not change between the two uses, nor when an executor is lost.
+    dealt = settle(dealt)
     sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
