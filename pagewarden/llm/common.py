@@ -43,9 +43,13 @@ def scratch_folder() -> Iterator[str]:
 
 
 def persist(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives executors.
+
+    The shuffle files of the run go when it ends.
+    """
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

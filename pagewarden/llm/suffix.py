@@ -8,9 +8,9 @@ sorts its suffixes:
    least hash (leftmost on ties), so equal windows have equal anchors.  Anchors
    that occur in one document only cannot belong to a repeat; the others stay.
 2. Segments.  A maximal run of windows with the same anchor occurrence is cut
-   out with its 49 further bytes.  Equal segments are one row from here on, with
-   the smallest id (map-side combined, so a passage in a third of all documents
-   is a row per task).
+   out with its 49 further bytes and named by a 128-bit digest.  Of equal
+   segments in a batch only one carries its bytes on, with the smallest id, so a
+   passage in a third of all documents is a few rows per task.
 3. Shards.  Segments with the same anchor meet in a shard.  Its suffix array is
    built by induced sorting: suffixes are classified, leftmost-smaller (LMS)
    substrings are sorted by induction, their names form a shorter string that is
@@ -22,7 +22,7 @@ sorts its suffixes:
 4. Marked windows go back to the documents that hold the segments.
 
 An anchor whose segments are all equal has nothing to compare and needs no array.
-An anchor that very many documents share is dealt by whole windows instead.
+An anchor with very many different segments is dealt by whole windows instead.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist, text_of
+from .common import persist, small_batches, text_of
 
 LENGTH = 50
 GRAM = 20
-HOT = 2_000
-BLOCK_BYTES = 4 << 20
+HOT = 50_000
+BLOCK_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- suffix array
@@ -290,10 +290,6 @@ def runs(low: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.append(cut, len(place))
 
 
-def _key(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-
-
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, owners = [], []
@@ -309,39 +305,71 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch({"anchor": np.concatenate(hashes), "row": np.concatenate(owners)})
 
 
-SEGMENTS = "row long, doc_id long, anchor long, segment binary, first long"
+def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (anchor, row): those whose anchor has more than one row.  Holds one row between batches."""
+    last_anchor = last_row = None
+    shared = False  # whether the pending anchor has been seen with two rows
+    for batch in batches:
+        a, r = batch["anchor"].to_numpy(), batch["row"].to_numpy()
+        if last_anchor is not None:
+            a, r = np.concatenate([[last_anchor], a]), np.concatenate([[last_row], r])
+        if not len(a):
+            continue
+        new = np.concatenate([[True], a[1:] != a[:-1]])
+        group = np.cumsum(new) - 1
+        least, most = r[new], r[np.append(np.flatnonzero(new)[1:] - 1, len(r) - 1)]
+        several = least != most
+        several[0] |= shared
+        keep = several[group]
+        keep[-1] = False  # the last row waits for the next batch
+        if last_anchor is not None and len(a) == 1:
+            keep[:] = False
+        if keep.any():
+            yield pa.record_batch({"row": r[keep], "anchor": a[keep]})
+        shared = bool(several[group[-1]])
+        last_anchor, last_row = a[-1], r[-1]
+    if last_anchor is not None and shared:
+        yield pa.record_batch({"row": np.array([last_row]), "anchor": np.array([last_anchor])})
+
+
+SEGMENTS = "row long, anchor long, k1 long, k2 long, first int, segment binary"
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of segments; of equal segments in a batch only the one with the smallest id carries the bytes."""
     for batch in batches:
+        rows, keys, firsts, parts, marks = [], [], [], [], []
+        held: dict[bytes, int] = {}
         for k in range(batch.num_rows):
-            repeated = batch["anchors"][k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-            hot = batch["hot"][k].values.to_numpy(zero_copy_only=False).astype(bool)
-            raw = batch["body"][k].as_py()
+            repeated = np.sort(batch["anchors"][k].values.to_numpy(zero_copy_only=False).view(np.uint64))
+            raw, row = batch["body"][k].as_py(), batch["row"][k].as_py()
             low, place = anchors(np.frombuffer(raw, np.uint8))
             begin, end = runs(low, place)
-            order = np.argsort(repeated)
-            repeated, hot = repeated[order], hot[order]
             mine = low[begin]
             at = np.minimum(np.searchsorted(repeated, mine), len(repeated) - 1)
             good = repeated[at] == mine
-            keys, parts, firsts = [], [], []
-            for a, b, h, wide in zip(begin[good].tolist(), end[good].tolist(), mine[good].view(np.int64).tolist(), hot[at[good]].tolist()):
-                if wide:  # deal by whole windows
-                    for w in range(a, b):
-                        parts.append(raw[w : w + LENGTH])
-                        keys.append(_key(parts[-1]))
-                        firsts.append(w)
+            for a, b, h in zip(begin[good].tolist(), end[good].tolist(), mine[good].view(np.int64).tolist()):
+                part = raw[a : b - 1 + LENGTH]
+                mark = hashlib.blake2b(part, digest_size=16).digest()
+                n = len(rows)
+                rows.append(row)
+                keys.append(h)
+                firsts.append(a)
+                marks.append(mark)
+                old = held.get(mark)
+                if old is None or rows[old] > row:
+                    if old is not None:
+                        parts[old] = None
+                    held[mark] = n
+                    parts.append(part)
                 else:
-                    parts.append(raw[a : b - 1 + LENGTH])
-                    keys.append(h)
-                    firsts.append(a)
-            n = len(parts)
-            if n:
-                yield pa.record_batch([
-                    pa.array([batch["row"][k].as_py()] * n, pa.int64()), pa.array([batch["doc_id"][k].as_py()] * n, pa.int64()),
-                    pa.array(keys, pa.int64()), pa.array(parts, pa.binary()), pa.array(firsts, pa.int64()),
-                ], names=["row", "doc_id", "anchor", "segment", "first"])
+                    parts.append(None)
+        if rows:
+            pair = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
+            yield pa.record_batch([
+                pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]),
+                pa.array(firsts, pa.int32()), pa.array(parts, pa.binary()),
+            ], names=["row", "anchor", "k1", "k2", "first", "segment"])
 
 
 def _pack_runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -351,33 +379,73 @@ def _pack_runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return a.tolist(), np.append(cut, len(values)).tolist(), values[a].tolist()
 
 
+MARKS = "k1 long, k2 long, begin array<int>, end array<int>, least array<long>"
+
+
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (anchor, segment, least) of one shard: suffix arrays over blocks of whole anchors."""
-    anchor: list[int] = []
-    part: list[bytes] = []
-    ids: list[int] = []
+    """Rows of one shard sorted by anchor: distinct segments per anchor, and suffix arrays over blocks of whole anchors."""
+    block: list[tuple[tuple[int, int], bytes, int]] = []
     size = 0
+    alone: list[tuple[tuple[int, int], bytes, int]] = []
+    current, group = None, {}
+
+    def out(items: list, packed: list) -> pa.RecordBatch:
+        k = np.array([i[0] for i in items], np.int64).reshape(-1, 2)
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        lists = [pa.array([p[j] for p in packed], kinds[j]) for j in range(3)]
+        return pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), *lists], names=["k1", "k2", "begin", "end", "least"])
 
     def flush() -> pa.RecordBatch:
-        marks = mark_windows(part, np.array(ids, np.int64))
-        packed = [_pack_runs(m) for m in marks]
-        kind = pa.list_(pa.int64())
-        return pa.record_batch(
-            [pa.array(anchor, pa.int64()), pa.array(part, pa.binary()), *[pa.array([p[j] for p in packed], kind) for j in range(3)]],
-            names=["anchor", "segment", "begin", "end", "least"],
-        )
+        marks = mark_windows([i[1] for i in block], np.array([i[2] for i in block], np.int64))
+        return out(block, [_pack_runs(m) for m in marks])
+
+    def settled() -> pa.RecordBatch:
+        return out(alone, [([0], [len(i[1]) - LENGTH + 1], [i[2]]) for i in alone])
+
+    def close() -> None:
+        nonlocal size
+        items = [(k, s, r) for k, (s, r) in group.items()]
+        if len(items) == 1:  # nothing to compare with
+            alone.extend(items)
+        else:
+            block.extend(items)
+            size += sum(len(i[1]) + 1 for i in items)
 
     for batch in batches:
-        for a, s, i in zip(*(batch[c].to_pylist() for c in ("anchor", "segment", "least_id"))):
-            if size >= BLOCK_BYTES and a != anchor[-1]:
-                yield flush()
-                anchor, part, ids, size = [], [], [], 0
-            anchor.append(a)
-            part.append(s)
-            ids.append(i)
-            size += len(s) + 1
-    if part:
+        columns = (batch[c].to_pylist() for c in ("anchor", "k1", "k2", "segment", "row"))
+        for anchor, k1, k2, segment, row in zip(*columns):
+            if anchor != current:
+                if group:
+                    close()
+                    group = {}
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    block, size = [], 0
+                if len(alone) >= 20_000:
+                    yield settled()
+                    alone = []
+                current = anchor
+            old = group.get((k1, k2))
+            if old is None or old[1] > row:
+                group[(k1, k2)] = (segment, row)
+    if group:
+        close()
+    if block:
         yield flush()
+    if alone:
+        yield settled()
+
+
+def _hot_windows(hot: DataFrame) -> DataFrame:
+    """The same marks for anchors with very many segments, window by window."""
+    at = F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH)).alias("at")
+    rows = hot.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.first("segment").alias("segment")).select("k1", "k2", "row", "segment", at)
+    rows = rows.select("k1", "k2", "row", "at", F.substring("segment", F.col("at") + 1, F.lit(LENGTH)).alias("w"))
+    least = rows.groupBy("w").agg(F.min("row").alias("least"))
+    found = rows.join(least, "w").select("k1", "k2", F.col("at").alias("begin"), (F.col("at") + 1).alias("end"), "least")
+    one = lambda c: F.transform("runs", lambda r: r[c]).alias(c)
+    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end", "least")).alias("runs")).select(
+        "k1", "k2", one("begin"), one("end"), one("least"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,31 +482,27 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     other, only against smaller ids.  Texts under 50 bytes lose nothing.
     """
     big = 2**63 - 2
-    body = text_of(text_col).cast("binary")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
-    base = base.withColumn("rank", F.coalesce("doc_id", F.lit(big)))
-    listed = base.where(F.length("body") >= LENGTH).select(F.col("rank").alias("row"), "body").mapInArrow(_list_anchors, "anchor long, row long")
-    shared = listed.groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where("a < b").select("anchor", (F.col("n") > HOT).alias("hot"))
-    shared = persist(spark, listed.join(shared, "anchor").groupBy("row").agg(
-        F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot")), "suffix-anchors")
-    held = base.select("rank", "body").join(shared, F.col("rank") == F.col("row")).select("row", F.col("rank").alias("doc_id"), "body", "anchors", "hot")
-    segments = persist(spark, held.mapInArrow(_cut_segments, SEGMENTS).withColumn("key", F.xxhash64("segment")), "suffix-segments")
-
-    one = segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least_id"))
-    one = persist(spark, one, "suffix-distinct")
-    alone = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    several = one.join(alone.where("n > 1").select("anchor"), "anchor", "left_semi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = several.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    marked = shards.mapInArrow(_shard, "anchor long, segment binary, begin array<long>, end array<long>, least array<long>")
-    size = F.length("segment") - LENGTH + 1
-    whole = one.join(alone.where("n = 1").select("anchor"), "anchor", "left_semi").select(
-        "anchor", "segment", F.array(F.lit(0).cast("long")).alias("begin"), F.array(size.cast("long")).alias("end"),
-        F.array("least_id").alias("least"))
-    marks = marked.unionByName(whole).select("anchor", "segment", F.arrays_zip("begin", "end", "least").alias("runs"))
-    found = segments.join(marks, ["anchor", "segment"])
-    mine = F.filter("runs", lambda r: r["least"] < F.col("doc_id"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("body"))
+    base = base.withColumn("row", F.coalesce("doc_id", F.lit(big)))
+    listed = base.where(F.length("body") >= LENGTH).select("row", "body").mapInArrow(_list_anchors, "anchor long, row long")
+    listed = listed.repartition(parts, "anchor").sortWithinPartitions("anchor", "row").mapInArrow(_shared_anchors, "row long, anchor long")
+    held = persist(spark, listed.groupBy("row").agg(F.collect_set("anchor").alias("anchors")), "suffix-anchors")
+    cut = base.select("row", "body").join(held, "row").mapInArrow(_cut_segments, SEGMENTS)
+    with small_batches(spark):
+        segments = persist(spark, cut, "suffix-segments")
+
+    distinct = segments.where("segment IS NOT NULL").select("anchor", "k1", "k2", "segment", "row")
+    hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
+    hot = persist(spark, hot, "suffix-hot")
+    usual = distinct.join(hot, "anchor", "left_anti")
+    shards = usual.repartition(parts, "anchor").sortWithinPartitions("anchor")
+    marks = persist(spark, shards.mapInArrow(_shard, MARKS).unionByName(_hot_windows(distinct.join(hot, "anchor", "left_semi"))), "suffix-marks")
+
+    runs_ = marks.select("k1", "k2", F.arrays_zip("begin", "end", "least").alias("runs"))
+    found = segments.select("row", "k1", "k2", "first").join(runs_, ["k1", "k2"])
+    mine = F.filter("runs", lambda r: r["least"] < F.col("row"))
     shift = F.transform(mine, lambda r: F.struct((r["begin"] + F.col("first")).alias("from"), (r["end"] + F.col("first")).alias("to")))
-    per_doc = found.withColumn("marks", shift).where(F.size("marks") > 0).groupBy("row").agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    return base.join(per_doc, F.col("rank") == F.col("row"), "left").select("doc_id", "body", "marks").mapInArrow(_remove, RESULT)
+    found = found.withColumn("marks", shift).where(F.size("marks") > 0)
+    per_doc = persist(spark, found.groupBy("row").agg(F.flatten(F.collect_list("marks")).alias("marks")), "suffix-removed")
+    return base.join(per_doc, "row", "left").select("doc_id", "body", "marks").mapInArrow(_remove, RESULT)
