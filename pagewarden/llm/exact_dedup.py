@@ -46,7 +46,7 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_batch: int) -
     """Run the keyed stream over the narrow table at ``path``; return (digest, keep, group_size)."""
     checkpoint = scratch_path(spark, "dedup-state")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    keyed = stream.groupBy("digest").agg(F.min(_first()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    keyed = state_of(stream)
     # Without preallocated files a state of many small partitions takes the disk it needs.
     small = {"spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false"}
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, **small):
@@ -56,8 +56,7 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_batch: int) -
         )
         query.awaitTermination()
         if query.lastProgress is None:  # an empty table ran no batch: there is no state
-            return spark.read.schema(schema).parquet(path).groupBy("digest").agg(
-                F.min(_first()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+            return state_of(spark.read.schema(schema).parquet(path))
         state = spark.read.format("statestore").load(checkpoint)
         names = {f.dataType.typeName(): f.name for f in state.schema["value"].dataType.fields}
         state = state.select(
@@ -92,14 +91,13 @@ def exact_dedup(
     narrow = persist(spark, fingerprints(docs, id_col, text_col), "dedup-narrow")
     path = narrow.inputFiles()
     if not path:
-        return _result(narrow, stream_empty(narrow))
+        return _result(narrow, state_of(narrow))
     state = stream_state(spark, path[0].rsplit("/", 1)[0], narrow.schema, files_per_batch)
     wrong = _collisions(spark, docs, text_col, state)
     if wrong.isEmpty():
         return _result(narrow, state)
     # Colliding digests: key their rows by the text itself.
     text = normalised(text_of(text_col))
-    located = fingerprints(docs.withColumn("__t", text), id_col, text_col)
     keyed = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.length(text_of(text_col)).cast("long").alias("n"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.monotonically_increasing_id().alias("locator"),
@@ -107,12 +105,12 @@ def exact_dedup(
     keyed = persist(spark, keyed, "dedup-rekeyed")
     fresh = keyed.groupBy("digest", "t").agg(F.min(_first()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     again = keyed.join(fresh, ["digest", "t"]).select("doc_id", "digest", "n", "locator", "keep", "group_size")
-    del located
     rest = narrow.join(wrong, "digest", "left_anti")
     return _result(rest, state).unionByName(_shape(again))
 
 
-def stream_empty(narrow: DataFrame) -> DataFrame:
+def state_of(narrow: DataFrame) -> DataFrame:
+    """(digest, keep, group_size) of a narrow table, batch or stream."""
     return narrow.groupBy("digest").agg(F.min(_first()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
 
 

@@ -41,7 +41,7 @@ class Tree:
     """points: (n, d) int64; ids: (n,) int64.  Points and ids are kept in leaf order."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
-        order = np.lexsort((ids,))
+        order = np.argsort(ids, kind="stable")
         nodes: list[tuple[int, int, int, int]] = []  # begin, end, left child, right child
         low, high, least = [], [], []
 
