@@ -50,8 +50,8 @@ class Tree:
             part = points[mine]
             nodes.append((begin, end, -1, -1))
             lo, hi = part.min(0), part.max(0)
-            low.append(lo)
-            high.append(hi)
+            low.append(lo.astype(np.int64))
+            high.append(hi.astype(np.int64))
             least.append(int(ids[mine].min()))
             # Equal points need no further split: their box is a point.
             if end - begin > leaf and (hi > lo).any():
@@ -71,7 +71,7 @@ class Tree:
         self.high = np.array(high, np.int64).reshape(-1, d)
         self.least = np.array(least, np.int64)
         self.ids = ids[order]
-        self.points = points[order]
+        self.points = compact(points[order])
         top = float(np.abs(points).max()) if points.size else 0.0
         self.top = top
 
@@ -139,6 +139,15 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
+def compact(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest type that holds them: trees and query blocks travel as rows."""
+    low, high = (int(a.min()), int(a.max())) if a.size else (0, 0)
+    for kind in (np.int8, np.int16, np.int32):
+        if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max:
+            return a.astype(kind)
+    return a
+
+
 def _blocks(df: DataFrame, rows: int, count: int, name: str) -> DataFrame:
     """(name, vec_ids, vectors): rows dealt to ``ceil(count / rows)`` blocks by hash of the id."""
     n = max(1, -(-count // rows))
@@ -172,7 +181,7 @@ def exact_top_k(
 
     def block(table: pa.Table) -> pa.Table:
         rows = table["v"].to_pylist()
-        body = (_matrix(rows, max(map(len, rows), default=0)), table["vec_id"].to_numpy())
+        body = (compact(_matrix(rows, max(map(len, rows), default=0))), table["vec_id"].to_numpy())
         return pa.table({"block": table["block"].slice(0, 1), "queries": pa.array([pickle.dumps(body)], pa.binary())})
 
     trees = _blocks(vectors, shard_rows, n, "shard").groupBy("shard").applyInArrow(build, "shard int, tree binary")
