@@ -78,6 +78,14 @@ def sweep(spark: SparkSession, folder: str = "") -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(spark: SparkSession, table: DataFrame) -> None:
+    """Delete a table that :func:`persist` wrote, once nothing unread depends on it."""
+    files = table.inputFiles()
+    if files and f"/{FOLDER}/" in files[0]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist, small_batches, text_of
+from .common import drop, persist, small_batches, text_of
 
 LENGTH = 50
 GRAM = 20
@@ -505,4 +505,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     shift = F.transform(mine, lambda r: F.struct((r["begin"] + F.col("first")).alias("from"), (r["end"] + F.col("first")).alias("to")))
     found = found.withColumn("marks", shift).where(F.size("marks") > 0)
     per_doc = persist(spark, found.groupBy("row").agg(F.flatten(F.collect_list("marks")).alias("marks")), "suffix-removed")
+    for table in (held, segments, hot, marks):  # they have served
+        drop(spark, table)
     return base.join(per_doc, "row", "left").select("doc_id", "body", "marks").mapInArrow(_remove, RESULT)
