@@ -1,8 +1,10 @@
 """The same views as streams.
 
 Roll-ups use event time with a watermark, an extension over stamping rows when
-they arrive: late rows within the watermark still count.  Sinks are idempotent:
-a batch is written under its id, so a batch that runs twice leaves one copy.
+they arrive: late rows within the watermark still count.  With ``delay=None``
+there is no watermark and every row counts, however late; its state keeps a row
+for each window and kind.  Sinks are idempotent: a batch is written under its
+id, so a batch that runs twice leaves one copy.
 """
 
 from __future__ import annotations
@@ -14,19 +16,19 @@ from pyspark.sql.streaming import StreamingQuery
 DAY_START = "18 hours"  # midnight at UTC+6, in UTC
 
 
-def hourly(events: DataFrame, ts: str = "ts", delay: str = "1 hour", value: str | None = "value") -> DataFrame:
+def hourly(events: DataFrame, ts: str = "ts", delay: str | None = "1 hour", value: str | None = "value") -> DataFrame:
     """Tumbling hours: window start, kind, n and sum."""
     return _tumbling(events, ts, delay, value, "1 hour", None)
 
 
-def local_daily(events: DataFrame, ts: str = "ts", delay: str = "1 hour", value: str | None = "value") -> DataFrame:
+def local_daily(events: DataFrame, ts: str = "ts", delay: str | None = "1 hour", value: str | None = "value") -> DataFrame:
     """Tumbling days that begin at local midnight (UTC+6); needs a UTC session."""
     return _tumbling(events, ts, delay, value, "1 day", DAY_START)
 
 
-def _tumbling(events: DataFrame, ts: str, delay: str, value: str | None, size: str, start: str | None) -> DataFrame:
+def _tumbling(events: DataFrame, ts: str, delay: str | None, value: str | None, size: str, start: str | None) -> DataFrame:
     rows = events.withColumn("__ts", F.col(ts).cast("timestamp"))
-    rows = rows.withWatermark("__ts", delay) if rows.isStreaming else rows
+    rows = rows.withWatermark("__ts", delay) if rows.isStreaming and delay else rows
     window = F.window("__ts", size, size, start) if start else F.window("__ts", size)
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.sum(value).alias("total")] if value else [])
     return rows.groupBy(window.alias("w"), "event_type").agg(*aggs).select(F.col("w.start").alias("start"), "event_type", "n", *(["total"] if value else []))

@@ -1,5 +1,8 @@
+import os
+
 from pyspark.sql import functions as F
 
+from pagewarden.plans import catalog
 from pagewarden.streaming import rollups
 
 
@@ -28,3 +31,16 @@ def test_latest_and_engine(spark):
     rows = spark.createDataFrame([("w", 1, 5, 1, "a"), ("w", 2, 7, 3, "b")], "worker_id string, last_seen int, scanned_total int, current_batch int, state string")
     assert tuple(rollups.engine_state(rows).first()) == ("w", 2, 12, 3, "b")
     assert tuple(rollups.latest_state(rows, "worker_id", "last_seen", ["state"]).first()) == ("w", 2, "b")
+
+
+def test_registered_rollup_counts_files_out_of_time_order(spark, tmp_path):
+    """24 files are three batches; the later half of the hours is listed first."""
+    rows = spark.range(24 * 20).select(
+        F.timestamp_seconds(F.col("id") * 180).alias("ts"), F.lit("k").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.repartitionByRange(24, "ts").write.parquet(str(tmp_path / "events.parquet"))
+    files = sorted((tmp_path / "events.parquet").glob("part-*.parquet"))
+    assert len(files) == 24
+    for k, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + (k + 12) % 24 * 10,) * 2)
+    got = {(r["start"].day, r["start"].hour): r["n"] for r in catalog.QUERIES["stream_hourly"](spark, str(tmp_path)).collect()}
+    assert got == {(1, h): 20 for h in range(24)}
