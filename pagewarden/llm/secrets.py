@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns, and a battery of randomness tests (JVM side only).
 
-Candidates of the battery are long runs of encoding characters.  Their encoding
-is inferred from the characters used (hex, base32, base64).  Three tests ask
+Candidates of the battery are long runs of encoding characters; "=" only ends
+one, as padding, so the name and the value of NAME=value are two.  The encoding
+is inferred from the characters used (hex, base32, base36, base64); runs without
+a digit, or of one case with one of "+/_-", have none.  Three tests ask
 whether the run can be random in that alphabet: chi-squared uniformity, runs
 above and below the middle of the alphabet, and serial correlation at lag 1.  A
 run that no test rejects gets a p-value under the opposite hypothesis, ordinary
@@ -28,11 +30,14 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 ASSIGN_VALUE = 6
 #: Kinds in the order of listing.
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: 20 characters or more with the padding, which is at most six long where it is needed for the 20.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{14})(?:[A-Za-z0-9+/_-]{20,}=*" + "".join(
+    rf"|[A-Za-z0-9+/_-]{{{20 - k}}}={{{k},}}" for k in range(1, 7)) + ")"
 #: name, full-match pattern, alphabet in order, chance that two characters of ordinary writing coincide.
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125),
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066),
+    ("base36", r"^(?=.*[0-9])(?=.*[a-zA-Z])([0-9a-z]+|[0-9A-Z]+)$", "abcdefghijklmnopqrstuvwxyz0123456789", 0.066),
     ("base64", r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/_-]+$",
      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.05),
 )
@@ -90,12 +95,12 @@ def normal_above(z: Column) -> Column:
 
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds encoding, n, p_chi, p_runs, p_serial and p_ordinary to rows with ``part``; rows without encoding go."""
-    core = F.rtrim(F.translate("part", "=", " "))  # padding goes; "=" inside leaves no encoding
+    core = F.rtrim(F.translate("part", "=", " "))  # padding goes
     rows = tokens.withColumn("core", core)
     pick = lambda values: F.coalesce(*[F.when(F.col("core").rlike(p), F.lit(v)) for (_, p, _, _), v in zip(ENCODINGS, values)])
     rows = rows.withColumn("encoding", pick([e[0] for e in ENCODINGS])).where("encoding IS NOT NULL")
     rows = rows.withColumn("alphabet", pick([e[2] for e in ENCODINGS])).withColumn("kappa", pick([e[3] for e in ENCODINGS]))
-    plain = F.when(F.col("encoding") == "hex", F.lower("core")).otherwise(F.translate("core", "-_", "+/"))
+    plain = F.when(F.col("encoding").isin("hex", "base36"), F.lower("core")).otherwise(F.translate("core", "-_", "+/"))
     rows = rows.withColumn("core", plain).withColumn("n", F.length("core").cast("double"))
     rows = rows.withColumn("m", F.length("alphabet").cast("double"))
     counts = F.transform(F.split("alphabet", ""), lambda c: (F.length("core") - F.length(F.replace(F.col("core"), c, F.lit("")))).cast("double"))

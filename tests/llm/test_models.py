@@ -123,6 +123,27 @@ def test_secrets(spark, docs_of):
     assert secrets.scan_secrets(spark, docs_of(rows).limit(0)).count() == 0
 
 
+def test_secrets_in_assignments_and_lower_case(spark, docs_of):
+    rng = np.random.default_rng(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    token = lambda chars, n: "".join(chars[int(x)] for x in rng.integers(0, len(chars), n))
+    full, lower = letters + letters.upper() + "0123456789", letters + "0123456789"
+    named = [(f"{name}=", token(full, n), pad) for name, n, pad in [("AWS_SECRET_ACCESS_KEY", 40, ""), ("sig", 43, ""), ("sig", 46, "==")] * 10]
+    plain = [("see ", token(lower, 60), "") for _ in range(20)] + [("sig=", token(lower.upper(), 60), "") for _ in range(20)]
+    rows = [(i, f"{a}{b}{c} end") for i, (a, b, c) in enumerate(named + plain)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.scan_secrets(spark, docs_of(rows)).collect()}
+    hit = [f"random:{len(a)}:{len(a + b + c)}" in got[i] for i, (a, b, c) in enumerate(named + plain)]
+    for some in (hit[0:30:3], hit[1:30:3], hit[2:30:3]):
+        assert sum(some) >= 8
+    assert sum(hit[30:50]) >= 17 and sum(hit[50:]) >= 17
+    # Short ones are tested as well, whatever the limit says of them; padding counts for the length.
+    parts = ["x" + token(lower, 26) + "7", token(full, 18).join("aA")[:17] + "7==", "AWS_SECRET_ACCESS_KEY="]
+    seen = secrets.battery(spark.createDataFrame([(p,) for p in parts], "part string")).collect()
+    assert {r["part"]: (r["encoding"], r["n"]) for r in seen} == {parts[0]: ("base36", 28.0), parts[1]: ("base64", 18.0)}
+    found = spark.createDataFrame([("a=b=" + parts[1] + "=" + parts[0],)], "t string").select(secrets.found(F.col("t"), secrets.CANDIDATE).alias("f"))
+    assert [s["part"] for s in found.first()["f"]] == [parts[1] + "=", parts[0]]
+
+
 def test_language(spark, docs_of):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.identify_languages(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
