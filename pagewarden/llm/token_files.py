@@ -8,8 +8,12 @@ task that runs twice leaves the same file:
 * ``<shard>.ids``  raw little-endian ids, 2 bytes each where the vocabulary
   allows, else 4;
 * ``<shard>.mph``  the index: header, displacements, and per slot a 4-byte
-  fingerprint, an 8-byte offset and a 4-byte length (in ids);
-* ``<shard>.keys`` the keys in order, only for listing a shard.
+  fingerprint, an 8-byte offset and an 8-byte length (in ids), then where each row ends;
+* ``<shard>.keys`` the distinct keys in order, only for listing a shard.
+
+A slot holds the run of all rows with its key; the list of ends parts the rows.
+Rows without an id come last; their run has no slot and begins where the header
+says.
 
 The index is a minimal perfect hash by "hash and displace": keys fall into
 buckets of about four, each bucket has the smallest displacement that sends its
@@ -35,8 +39,8 @@ from .common import persist, scratch_path, small_batches, text_of
 from .tokens import END_ID, encoder, portions
 
 MAGIC = b"PWTOKMPH"
-HEADER = struct.Struct("<8sIIIQQ")  # magic, version, bytes per id, buckets, keys, ids
-SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<u8"), ("length", "<u4")])
+HEADER = struct.Struct("<8sIIIQQQQ")  # magic, version, bytes per id, buckets, keys, ids, ids before the run without key, rows
+SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -96,13 +100,14 @@ class Shard:
     """Keyed access to one shard held in memory (or a memory map)."""
 
     def __init__(self, ids: bytes | memoryview, index: bytes | memoryview):
-        magic, _, width, buckets, n, _ = HEADER.unpack_from(index)
-        if magic != MAGIC:
+        magic, version, width, buckets, n, _, self.keyed, n_rows = HEADER.unpack_from(index)
+        if magic != MAGIC or version != 2:
             raise ValueError("not an index of token ids")
         at = HEADER.size
         self.n = n
         self.displacement = np.frombuffer(index, "<u4", buckets, at)
         self.slots = np.frombuffer(index, SLOT, n, at + 4 * buckets)
+        self.ends = np.frombuffer(index, "<u8", n_rows, at + 4 * buckets + SLOT.itemsize * n).astype(np.int64)
         self.ids = np.frombuffer(ids, f"<u{width}")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -115,13 +120,22 @@ class Shard:
         same = self.slots["fingerprint"][slot] == (mix(keys, 3) >> np.uint64(32)).astype(np.uint32)
         return np.where(same, slot, -1)
 
-    def get(self, key: int) -> np.ndarray | None:
+    def get(self, key: int | None) -> np.ndarray | None:
+        """The run of a key; None stands for the rows without id."""
+        if key is None:
+            return self.ids[self.keyed :] if self.keyed < len(self.ids) else None
         k = int(self.find(np.array([key]))[0])
         if k < 0:
             return None
         s = self.slots[k]
         return self.ids[int(s["offset"]) : int(s["offset"]) + int(s["length"])]
 
+    def rows(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and lengths of the rows in the run of ``n`` ids at ``at``."""
+        first, last = np.searchsorted(self.ends, [at, at + n], "right")
+        size = np.diff(self.ends[first:last], prepend=at)
+        return self.ends[first:last] - size, size
+
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
@@ -144,7 +158,7 @@ def _write_shard(uri: str, vocabulary: str | None, batches: Iterator[pa.RecordBa
     fs, folder = _store(uri)
     fs.create_dir(folder, recursive=True)
     name, tag = f"{folder}/{shard:06d}", f".{attempt}.tmp"
-    keys, lengths, total = [], [], 0
+    keys, lengths, total, without = [], [], 0, 0
     coder, out, width = None, None, 2
     for batch in batches:
         if coder is None:
@@ -156,29 +170,36 @@ def _write_shard(uri: str, vocabulary: str | None, batches: Iterator[pa.RecordBa
             sizes = np.diff(bounds)
             body = np.insert(ids, bounds[1:], END_ID).astype(f"<u{width}")
             out.write(body.tobytes())
-            keys.append(part["key"].to_numpy(zero_copy_only=False))
+            without += part["key"].null_count
+            keys.append(part["key"].drop_null().to_numpy(zero_copy_only=False))
             lengths.append(sizes + 1)
             total += len(body)
     if coder is None:
         return
     out.close()
     key, length = np.concatenate(keys).astype(np.int64), np.concatenate(lengths).astype(np.int64)
-    offset = np.cumsum(length) - length
+    n_docs, keyed = len(length), int(length[: len(length) - without].sum())
+    ends = np.cumsum(length)
+    offset = ends - length
+    key, first = np.unique(key, return_index=True)  # sorted as they are
+    offset = offset[first]
+    length = np.diff(offset, append=keyed)
     displacement, slot = build_index(key.astype(np.uint64))
     slots = np.zeros(len(key), SLOT)
     slots["fingerprint"][slot] = (mix(key.astype(np.uint64), 3) >> np.uint64(32)).astype(np.uint32)
     slots["offset"][slot], slots["length"][slot] = offset, length
     with fs.open_output_stream(f"{name}.mph{tag}") as f:
-        f.write(HEADER.pack(MAGIC, 1, width, len(displacement), len(key), total))
+        f.write(HEADER.pack(MAGIC, 2, width, len(displacement), len(key), total, keyed, n_docs))
         f.write(displacement.astype("<u4").tobytes())
         f.write(slots.tobytes())
+        f.write(ends.astype("<u8").tobytes())
     with fs.open_output_stream(f"{name}.keys{tag}") as f:
         f.write(key.astype("<i8").tobytes())
     for kind in ("ids", "mph", "keys"):
         _finish(fs, f"{name}.{kind}{tag}", f"{name}.{kind}")
     yield pa.record_batch({
-        "shard": pa.array([shard], pa.int64()), "first_key": pa.array([int(key.min())], pa.int64()),
-        "last_key": pa.array([int(key.max())], pa.int64()), "n_docs": pa.array([len(key)], pa.int64()),
+        "shard": pa.array([shard], pa.int64()), "first_key": pa.array([int(k) for k in key[:1]] or [None], pa.int64()),
+        "last_key": pa.array([int(k) for k in key[-1:]] or [None], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()),
         "n_ids": pa.array([total], pa.int64()),
     })
 
@@ -192,13 +213,13 @@ def write_token_files(
     """Write ``docs`` as token files in ascending id order; return the manifest with each shard's first position.
 
     Null texts count as empty: their ids are the end id alone.  Rows with a null
-    id have no key and are left out.  Ids must be distinct; a repeated id raises.
-    Other columns are not read.  The range partitioning uses Spark's sampled
+    id come last, in the files' run without key.  Rows with one id are one run, in
+    the order of their texts.  Other columns are not read.  The range partitioning uses Spark's sampled
     bounds, so a few very long texts do not change the number of rows per shard.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), text_of(text_col).alias("text"))
+    rows = rows.repartitionByRange(parts, F.asc_nulls_last("key")).sortWithinPartitions(F.asc_nulls_last("key"), "text")
     manifest = rows.mapInArrow(lambda batches: _write_shard(uri, vocabulary, batches), MANIFEST)
     with small_batches(spark):
         manifest = persist(spark, manifest, "token-manifest")
@@ -207,8 +228,16 @@ def write_token_files(
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 
-def read_token_files(manifest: DataFrame, uri: str) -> DataFrame:
-    """Every document through the index: doc_id, start, n_tokens, ids_crc32."""
+def read_token_files(manifest: DataFrame, uri: str, null_ids: bool = False) -> DataFrame:
+    """Every document through the index: doc_id, start, n_tokens, ids_crc32.
+
+    With ``null_ids`` the rows without id are listed too, so that every row
+    written is read.
+    """
+
+    def listed(store: Shard, base: int, key, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        crc = [zlib.crc32(store.ids[a : a + k].astype("<u4").tobytes()) for a, k in zip(at, n)]
+        return pa.record_batch({"doc_id": key, "start": at + base, "n_tokens": n, "ids_crc32": np.array(crc, np.int64)})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _store(uri)
@@ -223,8 +252,12 @@ def read_token_files(manifest: DataFrame, uri: str) -> DataFrame:
                         raise ValueError(f"shard {shard}: a key is not in its index")
                     at = store.slots["offset"][slot].astype(np.int64)
                     n = store.slots["length"][slot].astype(np.int64)
-                    crc = [zlib.crc32(store.ids[a : a + k].astype("<u4").tobytes()) for a, k in zip(at, n)]
-                    yield pa.record_batch({"doc_id": some, "start": at + base, "n_tokens": n, "ids_crc32": np.array(crc, np.int64)})
+                    parts = [store.rows(a, k) for a, k in zip(at.tolist(), n.tolist())]
+                    yield listed(store, base, np.repeat(some, [len(p[0]) for p in parts]), *map(np.concatenate, zip(*parts)))
+                if null_ids and store.keyed < len(store.ids):
+                    at, n = store.rows(store.keyed, len(store.ids) - store.keyed)
+                    for i in range(0, len(at), 4096):
+                        yield listed(store, base, pa.nulls(len(at[i : i + 4096]), pa.int64()), at[i : i + 4096], n[i : i + 4096])
 
     n = manifest.count()
     rows = manifest.select("shard", "base")
@@ -234,4 +267,4 @@ def read_token_files(manifest: DataFrame, uri: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
     uri = scratch_path(spark, "token-files")
-    return read_token_files(write_token_files(spark, docs, uri), uri)
+    return read_token_files(write_token_files(spark, docs, uri), uri, null_ids=True)

@@ -62,6 +62,30 @@ def test_files(spark, docs_of, plain):
     assert T.token_files(spark, docs_of(ROWS).limit(0)).count() == 0
 
 
+def test_every_row_has_a_result(spark, docs_of, plain):
+    """Repeated and missing ids: one row out for each row in."""
+    rows = ROWS + [(5, "five again"), (5, "five again"), (5, None), (None, None), (None, "no key"), (-4, "below"), (-4, "zero")]
+    got = T.token_files(spark, docs_of(rows)).collect()
+    at, want = 0, []
+    for k, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        ids = np.array(plain(t) + [0], "<u4")
+        want.append((k, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    only = [(None, "a"), (None, "b c")]
+    assert sorted(r["n_tokens"] for r in T.token_files(spark, docs_of(only)).collect()) == sorted(len(plain(t)) + 1 for _, t in only)
+    uri = scratch_path(spark, "t")
+    T.write_token_files(spark, docs_of([(5, "b"), (5, "a"), (None, "n")]).coalesce(1), uri).collect()
+    fs, folder = T._store(uri)
+    runs = {}
+    for f in fs.get_file_info(T.pafs.FileSelector(folder)):
+        if f.path.endswith(".mph"):
+            read = lambda p: fs.open_input_file(p).readall()
+            store = T.Shard(read(f.path.replace(".mph", ".ids")), read(f.path))
+            runs |= {k: store.get(k).tolist() for k in (5, None) if store.get(k) is not None}
+    assert runs == {5: plain("a") + [0] + plain("b") + [0], None: plain("n") + [0]}
+
+
 def check_plan(histogram, plan, capacity=2048):
     total = Counter()
     for config, times in plan:
