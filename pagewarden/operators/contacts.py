@@ -13,6 +13,7 @@ from ..functions.text import FLAGS
 # What opens an address, and addresses that belong to tools.
 ADDRESS_WORD = r"(house|holding|plot|flat|road|block|sector|level|floor|suite|lane|avenue|tower|bhaban|bhavan|plaza|complex|রোড|সড়ক|বাড়ি|ব্লক|সেক্টর)"
 MAIL_SKIP = r"(example|sentry|wixpress|godaddy|\.png|\.jpg|domain\.com|email\.com|yourdomain|wordpress)"
+# Limits of the edge scanner, for callers that want them; off by default.
 MOST_TEXT = 60_000
 MOST_WORDS = 200
 
@@ -33,10 +34,11 @@ def _first_place(window: Column, names: list[str]) -> Column:
     return F.when(window.rlike(r"(?i)\b(" + "|".join(re.escape(n) for n in names) + r")\b"), hit).otherwise("")
 
 
-def windows(text: Column, before: int = 45, after: int = 155) -> Column:
-    """Text around each address word, in order, for the first ``MOST_WORDS`` words."""
-    gaps = F.split(text, FLAGS + ADDRESS_WORD, MOST_WORDS + 1)
-    words = F.slice(F.regexp_extract_all(text, F.lit(FLAGS + ADDRESS_WORD), F.lit(0)), 1, MOST_WORDS)
+def windows(text: Column, before: int = 45, after: int = 155, most_words: int | None = None) -> Column:
+    """Text around each address word, in order; with ``most_words`` around the first so many."""
+    gaps = F.split(text, FLAGS + ADDRESS_WORD, most_words + 1 if most_words else -1)
+    words = F.regexp_extract_all(text, F.lit(FLAGS + ADDRESS_WORD), F.lit(0))
+    words = F.slice(words, 1, most_words) if most_words else words
     steps = F.arrays_zip(F.slice(gaps, 1, F.size(words)).alias("g"), words.alias("w"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
 
@@ -48,18 +50,22 @@ def windows(text: Column, before: int = 45, after: int = 155) -> Column:
     return F.transform(places, lambda p: F.substring(text, F.greatest(p - before, F.lit(0)) + 1, after + F.least(p, F.lit(before))))
 
 
-def extract_contacts(pages: DataFrame, id_col: str, html_col: str, text_col: str) -> DataFrame:
+def extract_contacts(
+    pages: DataFrame, id_col: str, html_col: str, text_col: str, most_text: int | None = None, most_words: int | None = None
+) -> DataFrame:
     """id, phone, email, address, district, area.
 
     The address is the first window around an address word that names an area or
     a district; an area alone implies the capital's district.  Missing parts are
-    empty.
+    empty.  Whole texts are read; ``most_text`` (characters) and ``most_words``
+    (address words) set limits.
     """
-    text = F.substring(F.coalesce(text_col, F.lit("")), 1, MOST_TEXT)
+    text = F.coalesce(text_col, F.lit(""))
+    text = F.substring(text, 1, most_text) if most_text else text
     rows = pages.select(F.col(id_col), text.alias("__t"), F.coalesce(html_col, F.lit("")).alias("__h"))
     any_place = r"(?i)\b(" + "|".join(re.escape(n) for n in [*P.AREAS, *P.DISTRICTS]) + r")\b"
     has = F.col("__t").rlike(FLAGS + ADDRESS_WORD) & F.col("__t").rlike(any_place)
-    first = F.get(F.filter(windows(F.col("__t")), lambda w: w.rlike(any_place)), F.lit(0))
+    first = F.get(F.filter(windows(F.col("__t"), most_words=most_words), lambda w: w.rlike(any_place)), F.lit(0))
     rows = rows.withColumn("__w", F.coalesce(F.when(has, first), F.lit("")))
     rows = rows.withColumn("area", _first_place(F.col("__w"), P.AREAS)).withColumn("__d", _first_place(F.col("__w"), P.DISTRICTS))
     address = F.regexp_replace(F.regexp_replace("__w", r"\s+", " "), r"^[^A-Za-zঀ-৿]+", "")

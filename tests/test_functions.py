@@ -65,3 +65,16 @@ def test_contacts(spark):
     got = {r["id"]: r for r in extract_contacts(spark.createDataFrame(rows, "id long, h string, t string"), "id", "h", "t").collect()}
     assert (got[1]["area"], got[1]["district"], got[1]["phone"]) == ("Dhanmondi", "Dhaka", "01712345678") and "House 12" in got[1]["address"]
     assert got[2]["address"] == "" and got[3]["phone"] == "" and got[4]["district"] == "Sylhet" and got[4]["email"] == ""
+
+
+def test_contacts_of_whole_texts(spark, tmp_path):
+    from pagewarden.operators.contacts import MOST_TEXT, MOST_WORDS
+    from pagewarden.plans import catalog
+
+    long = "word " * 13_000 + "call 01712345678 now"
+    rows = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["phone"] for r in catalog.QUERIES["contact_extract"](spark, str(tmp_path)).collect()} == {1: "01712345678", 2: ""}
+    far = spark.createDataFrame([(1, "", "road " + "x" * 200 + (" road" + " y" * 90) * 250 + " House 5, Dhanmondi")], "id long, h string, t string")
+    assert extract_contacts(far, "id", "h", "t").first()["area"] == "Dhanmondi"
+    assert extract_contacts(far, "id", "h", "t", MOST_TEXT, MOST_WORDS).first()["area"] == ""
