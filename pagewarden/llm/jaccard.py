@@ -132,8 +132,8 @@ def _signatures(names: list[str], words: int, bands: int, rows: int, batches: It
         yield pa.record_batch(out, names=[*names, "set_hash", "bands", "items"])
 
 
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
-    """Boolean matrix of the pairs with a similarity of ``least`` or more; with two sides only pairs across count."""
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray | None, least: float) -> np.ndarray:
+    """Boolean matrix of the pairs with a similarity of ``least`` or more; with sides only pairs across count, also where one is empty."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     inter = np.zeros((n, n), np.float32)
@@ -156,7 +156,7 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.
     # inter / union >= least, without division; 1e-9 keeps 4 of 5 at 0.8.
     good = inter >= least * union - 1e-9
     np.fill_diagonal(good, False)
-    if side.any() and not side.all():
+    if side is not None:
         good &= side[:, None] != side[None, :]
     return good
 
@@ -186,7 +186,7 @@ def _verify(words: int, least: float, table: pa.Table) -> pa.Table:
     first, second = table["i"][0].as_py(), table["j"][0].as_py()
     raw = table["items"].take(pa.array(order)).to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in raw]
-    side = (mine == second) if first != second else np.zeros(len(node), bool)
+    side = (mine == second) if first != second else None
     good = similar_pairs(sets, side, least)
     links = good @ copies
     root = node[_roots(good)]

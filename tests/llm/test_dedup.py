@@ -175,3 +175,16 @@ def test_mark_windows():
     a, b = b"q" * 10 + bytes(range(60, 120)), bytes(range(60, 120)) + b"r"
     one, two = mark_windows([a, b], np.array([5, 3]))
     assert one.tolist() == [5] * 10 + [3] * 11 and two.tolist() == [3] * 12
+
+
+def test_jaccard_with_an_empty_block(spark, docs_of, monkeypatch):
+    """Two near copies a component, in two blocks: about half the pairs leave a block empty."""
+    from pagewarden.llm import jaccard as J
+
+    monkeypatch.setattr(J, "BLOCK_ITEMS", 300)
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] + ["other"]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join(spark, docs_of(rows)).collect()}
+    assert got == {i: (i // 2 * 2, 1) for i in range(24)}
