@@ -106,11 +106,16 @@ def inputs(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About the ``rows`` rows with the smallest hash of ``key``: the same rows in each run, at any partitioning.
+def bounded_sample(df: DataFrame, key: str, rows: int, *more: str) -> DataFrame:
+    """The ``rows`` rows at most with the smallest hash of ``key`` and ``more``: the same rows in each run, at any partitioning.
 
-    Only one number comes to the driver, and only hashes are sorted.
+    Only one number comes to the driver, and only hashes are sorted.  Rows that
+    tie on the last hash count as one, so rows that repeat do not pass the bound.
     """
-    h = F.xxhash64(F.col(key))
-    top = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.where(F.lit(False)) if top is None else df.where(h <= F.lit(top))
+    h = F.xxhash64(F.col(key), *[F.col(c) for c in more])
+    top, n = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h"), F.count(F.lit(1))).first()
+    if top is None:
+        return df.where(F.lit(False))
+    if n < rows:
+        return df
+    return df.where(h < F.lit(top)).unionByName(df.where(h == F.lit(top)).limit(1))
