@@ -4,43 +4,61 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 smaller id.  Equal strings are brought together by content, then each shard
 sorts its suffixes:
 
-1. Anchors.  Every 50-byte window has one anchor, the 20-gram in it with the
-   least hash (leftmost on ties), so equal windows have equal anchors.  Anchors
-   that occur in one document only cannot belong to a repeat; the others stay.
-2. Segments.  A maximal run of windows with the same anchor occurrence is cut
-   out with its 49 further bytes and named by a 128-bit digest.  Of equal
-   segments in a batch only one carries its bytes on, with the smallest id, so a
-   passage in a third of all documents is a few rows per task.
-3. Shards.  Segments with the same anchor meet in a shard.  Its suffix array is
-   built by induced sorting: suffixes are classified, leftmost-smaller (LMS)
-   substrings are sorted by induction, their names form a shorter string that is
-   sorted in turn, and the whole array is induced from it in two linear passes
-   over byte buckets.  Names have too wide an alphabet for buckets, so the
-   shorter string is sorted by doubling.  Permuted common prefixes, capped at 50,
-   then part the array into groups of equal windows, and a window goes where its
-   group has a smaller id.
-4. Marked windows go back to the documents that hold the segments.
-
-An anchor whose segments are all equal has nothing to compare and needs no array.
-An anchor with very many different segments is dealt by whole windows instead.
+1. Blocks.  Documents travel in blocks of about a megabyte, joined end to end;
+   a place is a block and a byte in it, so repeated or missing ids confuse nothing.
+2. Segments.  Every 50-byte window has an anchor, the least hash of the 20-grams
+   in it, so equal windows have equal anchors.  A maximal run of windows with the
+   same anchor (31 at most) is a segment of at most 80 bytes.  A block lists each
+   distinct segment once (anchor, digest, least id, places), so a passage that
+   many documents share is one row for each block.
+3. Whole segments.  In the order of anchor, digest and id, the first row of a
+   digest holds the least id with that segment; all rows with larger ids lose all
+   its windows.  An anchor with one digest is settled by that.
+4. Shards.  The first rows of anchors with several digests may share windows with
+   other segments.  They are cut into pieces by the 35 bytes next to the anchor
+   that all windows of a piece hold; pieces that hold the same meet in a shard,
+   which needs only a number for these bytes and the bytes on either side.  A
+   shard's suffix array is built by induced sorting: suffixes are classified,
+   leftmost-smaller (LMS) substrings are sorted, their names form a shorter string
+   that is sorted by the same steps, recursively, and the whole array is induced
+   from it in two linear passes over byte buckets.  Permuted common prefixes, capped
+   at the length of a window, then part the array into groups of equal windows, and
+   a window goes where its group has a smaller id.
+5. Marked windows go back to their blocks.
+
+Pieces too many for one array are cut again, by half as many places of the anchor
+and as many shared bytes more; at the last step a piece is one window.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, persist, small_batches, text_of
+from .common import drop, persist, settings, text_of
+from .tokens import portions
 
 LENGTH = 50
 GRAM = 20
-HOT = 50_000
-BLOCK_BYTES = 2 << 20
+WINDOWS = LENGTH - GRAM + 1  # windows that can hold one gram
+#: Bytes of documents in a block, bytes of pieces in an array, pieces in a group that need no further cut.
+BLOCK_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 20
+GROUP_PIECES = 12_000
+#: A null id counts as larger than all others.
+LAST = 2**63 - 1
+#: Alphabets up to this are induced by buckets.
+NARROW = 1024
+
+U = np.uint64
 
 
 # ---------------------------------------------------------------- suffix array
@@ -119,62 +137,72 @@ def _types(text: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def _double(names: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of ``names`` by their first ``depth`` names; a shorter suffix comes first."""
-    rank = names.astype(np.int64)
-    k = 1
-    while k < depth:
-        after = np.concatenate([rank[k:] + 1, np.zeros(min(k, len(rank)), np.int64)])[: len(rank)]
-        rank_new = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)[1]
-        if int(rank_new.max()) == int(rank.max()):
-            break  # no tie was broken, none will be
-        rank, k = rank_new, 2 * k
-        if int(rank.max()) == len(rank) - 1:
-            break
+def _sorted_ranks(text: np.ndarray, kinds: np.ndarray, lms: np.ndarray, sigma: int, at: np.ndarray, order_of_lms: np.ndarray | None) -> np.ndarray:
+    """For each of the places ``at``, how many of them come before it.
+
+    Compared are the (value, type) symbols up to and with the next LMS place, then
+    the rank of that place's suffix.  Two suffixes that agree so far reach their
+    LMS places together, so this is the order of the suffixes.  Without the ranks
+    it is the order of the LMS substrings, equal ones alike.
+    """
+    n = len(text)
+    bits = (2 * sigma + 2).bit_length()
+    many = max(1, 62 // bits)  # symbols that are compared at once
+    symbols = np.zeros(n + many + 1, np.int64)
+    symbols[:n] = 2 * text.astype(np.int64) + kinds + 1  # the end is less than all
+    next_lms = np.searchsorted(lms, at, "right")
+    length = np.append(lms, n)[next_lms] - at
+    rank = np.zeros(len(at), np.int64)
+    live, by = np.arange(len(at)), 0
+    while len(live):
+        word = np.zeros(len(live), np.int64)
+        ended = length[live] < by
+        mine = at[live]
+        for k in range(by, by + many):
+            word = (word << bits) | np.where(k <= length[live], symbols[np.minimum(mine + k, n)], 0)
+        if order_of_lms is not None:
+            word[ended] = np.append(order_of_lms, -1)[next_lms[live[ended]]]
+        order = np.lexsort((word, rank[live])) if by else np.argsort(word, kind="stable")
+        live, word, ended = live[order], word[order], ended[order]
+        old = rank[live]
+        new_group = np.concatenate([[True], old[1:] != old[:-1]])
+        fresh = new_group | np.concatenate([[True], word[1:] != word[:-1]])
+        place = np.arange(len(live))
+        start = np.maximum.accumulate(np.where(new_group, place, 0))
+        head = np.maximum.accumulate(np.where(fresh, place, 0))
+        rank[live] = old + head - start
+        alone = fresh & np.append(fresh[1:], True)
+        live = np.sort(live[~(alone | ended)])
+        by += many
     return rank
 
 
-def suffix_array(text: np.ndarray, sigma: int, depth: int | None = None) -> np.ndarray:
-    """The suffix array of ``text`` (values below ``sigma``), in order at least by the first ``depth`` values.
+def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
+    """The suffix array of ``text`` (values below ``sigma``).
 
-    Suffixes that agree in their first ``depth`` values may come in any order.
+    LMS substrings are sorted and named; where names repeat, the string of names
+    is sorted in the same way.  From its order the whole array is induced, over
+    value buckets where these are few, else (in strings of names) from the symbols
+    up to the next LMS place and its rank.
     """
     n = len(text)
     if n < 2:
         return np.arange(n)
     kinds = _types(text)
     lms = np.flatnonzero((kinds[1:] == 1) & (kinds[:-1] == 0)) + 1
-    array = _induce(text, kinds, lms, sigma)
-    if len(lms) < 2:
-        return array
-    # The LMS substrings now stand in order; name them, equal ones alike.
-    is_lms = np.zeros(n + 1, bool)
-    is_lms[lms] = True
-    ordered = array[is_lms[array]]
-    end = np.empty(n + 1, np.int64)
-    end[lms] = np.append(lms[1:], n)
-    length = end[ordered] - ordered + 1
-    fresh = np.ones(len(ordered), bool)
-    padded = np.append(text, np.zeros(1, text.dtype))
-    alike = np.flatnonzero(length[1:] == length[:-1]) + 1
-    a, b, left = ordered[alike], ordered[alike - 1], length[alike]
-    at = 0
-    while len(alike):
-        over = left <= at
-        fresh[alike[over]] = False
-        alike, a, b, left = alike[~over], a[~over], b[~over], left[~over]
-        same = padded[np.minimum(a + at, n)] == padded[np.minimum(b + at, n)]
-        alike, a, b, left = alike[same], a[same], b[same], left[same]
-        at += 1
-    name = np.empty(n, np.int64)
-    name[ordered] = np.cumsum(fresh) - 1
-    names = name[lms]
-    if int(names.max()) + 1 < len(names):
-        rank = _double(names, len(names) if depth is None else depth // 2 + 1)
-        lms = lms[np.argsort(rank, kind="stable")]
+    names = _sorted_ranks(text, kinds, lms, sigma, lms, None)
+    distinct, names = np.unique(names, return_inverse=True)
+    if len(distinct) < len(lms):
+        order = suffix_array(names, len(distinct))
     else:
-        lms = lms[np.argsort(names)]
-    return _induce(text, kinds, lms, sigma)
+        order = np.argsort(names)
+    if sigma <= NARROW:
+        return _induce(text, kinds, lms[order], sigma)
+    rank_of_lms = np.empty(len(lms), np.int64)
+    rank_of_lms[order] = np.arange(len(lms))
+    array = np.empty(n, np.int64)
+    array[_sorted_ranks(text, kinds, lms, sigma, np.arange(n), rank_of_lms)] = np.arange(n)
+    return array
 
 
 def permuted_prefixes(text: np.ndarray, array: np.ndarray, cap: int) -> np.ndarray:
@@ -205,40 +233,45 @@ def permuted_prefixes(text: np.ndarray, array: np.ndarray, cap: int) -> np.ndarr
     return np.minimum(np.minimum(out, limit), cap)
 
 
-def mark_windows(segments: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Per segment and window, the smallest id of an equal window among all segments."""
-    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+def mark_windows(pieces: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """Per piece and window of ``length`` bytes, the smallest id of an equal window among all pieces."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     start = np.cumsum(sizes + 1) - (sizes + 1)
     total = int((sizes + 1).sum())
-    text = np.zeros(total, np.uint16)  # 0 parts the segments, bytes are 1 to 256
-    body = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 1
+    text = np.zeros(total, np.uint16)  # 0 parts the pieces, bytes are 1 to 256
+    body = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16) + 1
     inside = np.ones(total, bool)
     inside[start + sizes] = False
     text[inside] = body
-    array = suffix_array(text, 257, length)
+    array = suffix_array(text, 257)
     prefix = permuted_prefixes(text, array, length)
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
+    owner = np.repeat(np.arange(len(pieces)), sizes + 1)
     window = np.repeat(sizes, sizes + 1) - (np.arange(total) - start[owner]) >= length
     group = np.cumsum(prefix[array] < length)
     valid = window[array]
-    least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+    least = np.full(int(group[-1]) + 1, LAST)
     np.minimum.at(least, group[valid], ids[owner[array[valid]]])
-    out = np.full(total, np.iinfo(np.int64).max)
+    out = np.full(total, LAST)
     out[array[valid]] = least[group[valid]]
     return [out[a : a + max(0, s - length + 1)] for a, s in zip(start, sizes)]
 
 
-# ------------------------------------------------------------ anchors, segments
+# ------------------------------------------------------------ blocks, segments
+
 
+def finish(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> U(30))
+    x = x * U(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> U(27))
+    x = x * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
-def anchors(body: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the anchor of every window of ``length`` bytes."""
+
+def grams(body: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """The hash of every ``gram`` bytes, by doubling: 1, 2, 4, 8, 16, then the rest."""
     n = len(body)
-    if n < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    # Hash of all grams by doubling: 1, 2, 4, 8, 16, then 16 + 4.
-    base = [np.uint64(pow(0x9E3779B97F4A7C55, 1 << k, 1 << 64)) for k in range(7)]
-    h, by = {1: body.astype(np.uint64) + np.uint64(1)}, 1
+    base = [U(pow(0x9E3779B97F4A7C55, 1 << k, 1 << 64)) for k in range(7)]
+    h, by = {1: body.astype(U) + U(1)}, 1
     while by * 2 <= gram:
         h[by * 2] = h[by][: n - 2 * by + 1] * base[by.bit_length() - 1] + h[by][by : n - by + 1]
         by *= 2
@@ -246,228 +279,385 @@ def anchors(body: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     for part in sorted((p for p in h if p < by and (gram - by) & p), reverse=True):
         value = value[: n - have - part + 1] * base[part.bit_length() - 1] + h[part][have : n - part + 1]
         have += part
-    value = value ^ (value >> np.uint64(29))
-    value = value * np.uint64(0xBF58476D1CE4E5B9)
-    value = value ^ (value >> np.uint64(32))
-    # Least hash in each run of w grams, by doubling; then its leftmost place.
-    w = length - gram + 1
+    return finish(value)
+
+
+def least_of(value: np.ndarray) -> np.ndarray:
+    """For each window the least hash of its grams."""
     low, size = value, 1
-    while size * 2 <= w:
-        low = np.minimum(low[: len(low) - size], low[size:])
+    while size * 2 <= WINDOWS:
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
-    low = np.minimum(low[: n - length + 1], low[w - size : w - size + n - length + 1])
-    # The leftmost gram with the least hash: walk over candidates, the grams that are least in some window.
-    spots = np.flatnonzero(np.isin(value, np.unique(low))) if n < 4 * length else _spots(value, low, w)
-    at = np.searchsorted(spots, np.arange(len(low)))
-    place = spots[np.minimum(at, len(spots) - 1)]
-    wrong = np.flatnonzero(value[place] != low)
-    step = 1
-    while len(wrong):
-        place[wrong] = spots[np.minimum(at[wrong] + step, len(spots) - 1)]
-        wrong = wrong[value[place[wrong]] != low[wrong]]
-        step += 1
-    return low, place
-
-
-def _spots(value: np.ndarray, low: np.ndarray, w: int) -> np.ndarray:
-    """Grams that equal the least hash of the first or last window, or of a window where the least changes."""
-    n = len(low)
-    # A gram is least in some window of those that hold it iff it is <= all within one such window:
-    # the greatest of the windows' minima over the windows that hold it equals it.
-    pad = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
-    high, size = pad, 1
-    while size * 2 <= w:
-        high = np.maximum(high[: len(high) - size], high[size:])
-        size *= 2
-    m = n + w - 1
-    high = np.maximum(high[:m], high[w - size : w - size + m])
-    return np.flatnonzero(value[:m] == high)
+    m = len(value) - WINDOWS + 1
+    return np.minimum(low[:m], low[WINDOWS - size : WINDOWS - size + m])
+
+
+def segments(body: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, digest, first byte, windows) of the segments of documents of ``sizes`` bytes that make up ``body``."""
+    none = np.zeros(0, U)
+    if len(body) < LENGTH:
+        return none, none, none.astype(np.int64), none.astype(np.int64)
+    value = grams(body)
+    low = least_of(value)
+    ends = np.cumsum(sizes)
+    # Windows that begin in the last 49 bytes of a document leave it; a run also ends there.
+    change = np.empty(len(low) + 1, bool)
+    np.not_equal(low[1:], low[:-1], out=change[1:-1])
+    change[0] = change[-1] = True
+    some = sizes > 0
+    change[(ends - sizes)[some & (ends - sizes <= len(low))]] = True
+    last = np.maximum(ends - sizes, ends - LENGTH + 1)[some]
+    change[last[last <= len(low)]] = True
+    cut = np.flatnonzero(change)
+    first, k = cut[:-1], np.diff(cut)
+    document = np.searchsorted(ends, first, "right")
+    good = first + LENGTH <= ends[document]
+    first, k = first[good], k[good]
+    if len(k) and int(k.max()) > WINDOWS:  # bytes that repeat at short distance: runs of one hash at many places
+        parts = -(-k // WINDOWS)
+        within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, k = np.repeat(first, parts) + within * WINDOWS, np.minimum(np.repeat(k, parts) - within * WINDOWS, WINDOWS)
+    # Four grams cover the 50 to 80 bytes.
+    end = first + k + LENGTH - 1 - GRAM
+    digest = value[first] * U(0xD6E8FEB86659FD93) + value[first + GRAM]
+    digest = finish(digest * U(0xD6E8FEB86659FD93) + value[np.minimum(first + 2 * GRAM, end)])
+    digest = finish(digest * U(0xD6E8FEB86659FD93) + value[end] + k.astype(U))
+    return low[first], digest, first, k
+
+
+BLOCKS = "block long, ids array<long>, sizes array<int>, body binary"
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 36
+    for batch in batches:
+        for part in portions(batch, "body", BLOCK_BYTES):
+            sizes = pc.binary_length(part["body"]).cast(pa.int32())
+            yield pa.record_batch([
+                pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part["doc_id"]),
+                pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), sizes), pa.array([b"".join(part["body"].to_pylist())], pa.binary()),
+            ], names=["block", "ids", "sizes", "body"])
+            number += 1
 
 
-def runs(low: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first window, last window + 1) of the maximal runs with one anchor occurrence."""
-    cut = np.flatnonzero(place[1:] != place[:-1]) + 1
-    return np.concatenate([[0], cut]), np.append(cut, len(place))
+def _block(ids: pa.Array, sizes: pa.Array, body: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, sizes, ids with null as the last) of a block."""
+    own = ids[k].values.fill_null(LAST).to_numpy(zero_copy_only=False)
+    return np.frombuffer(body[k].as_buffer(), np.uint8), sizes[k].values.to_numpy(zero_copy_only=False).astype(np.int64), own
 
 
-def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes, owners = [], []
-        for row, raw in zip(batch["row"].to_pylist(), batch["body"]):
-            body = np.frombuffer(raw.as_buffer(), np.uint8)
-            low, place = anchors(body)
-            if len(low):
-                first, _ = runs(low, place)
-                mine = np.unique(low[first])
-                hashes.append(mine.view(np.int64))
-                owners.append(np.full(len(mine), row))
-        if hashes:
-            yield pa.record_batch({"anchor": np.concatenate(hashes), "row": np.concatenate(owners)})
-
-
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (anchor, row): those whose anchor has more than one row.  Holds one row between batches."""
-    last_anchor = last_row = None
-    shared = False  # whether the pending anchor has been seen with two rows
-    for batch in batches:
-        a, r = batch["anchor"].to_numpy(), batch["row"].to_numpy()
-        if last_anchor is not None:
-            a, r = np.concatenate([[last_anchor], a]), np.concatenate([[last_row], r])
-        if not len(a):
-            continue
-        new = np.concatenate([[True], a[1:] != a[:-1]])
-        group = np.cumsum(new) - 1
-        least, most = r[new], r[np.append(np.flatnonzero(new)[1:] - 1, len(r) - 1)]
-        several = least != most
-        several[0] |= shared
-        keep = several[group]
-        keep[-1] = False  # the last row waits for the next batch
-        if last_anchor is not None and len(a) == 1:
-            keep[:] = False
-        if keep.any():
-            yield pa.record_batch({"row": r[keep], "anchor": a[keep]})
-        shared = bool(several[group[-1]])
-        last_anchor, last_row = a[-1], r[-1]
-    if last_anchor is not None and shared:
-        yield pa.record_batch({"row": np.array([last_row]), "anchor": np.array([last_anchor])})
-
-
-SEGMENTS = "row long, anchor long, k1 long, k2 long, first int, segment binary"
-
-
-def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of segments; of equal segments in a batch only the one with the smallest id carries the bytes."""
-    for batch in batches:
-        rows, keys, firsts, parts, marks = [], [], [], [], []
-        held: dict[bytes, int] = {}
-        for k in range(batch.num_rows):
-            repeated = np.sort(batch["anchors"][k].values.to_numpy(zero_copy_only=False).view(np.uint64))
-            raw, row = batch["body"][k].as_py(), batch["row"][k].as_py()
-            low, place = anchors(np.frombuffer(raw, np.uint8))
-            begin, end = runs(low, place)
-            mine = low[begin]
-            at = np.minimum(np.searchsorted(repeated, mine), len(repeated) - 1)
-            good = repeated[at] == mine
-            for a, b, h in zip(begin[good].tolist(), end[good].tolist(), mine[good].view(np.int64).tolist()):
-                part = raw[a : b - 1 + LENGTH]
-                mark = hashlib.blake2b(part, digest_size=16).digest()
-                n = len(rows)
-                rows.append(row)
-                keys.append(h)
-                firsts.append(a)
-                marks.append(mark)
-                old = held.get(mark)
-                if old is None or rows[old] > row:
-                    if old is not None:
-                        parts[old] = None
-                    held[mark] = n
-                    parts.append(part)
-                else:
-                    parts.append(None)
-        if rows:
-            pair = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
-            yield pa.record_batch([
-                pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]),
-                pa.array(firsts, pa.int32()), pa.array(parts, pa.binary()),
-            ], names=["row", "anchor", "k1", "k2", "first", "segment"])
+LISTED = "anchor long, digest long, least long, several boolean, block long, at long, windows int, more binary"
 
 
-def _pack_runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    """Runs of equal values: first, one past the last, value."""
-    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
-    a = np.concatenate([[0], cut])
-    return a.tolist(), np.append(cut, len(values)).tolist(), values[a].tolist()
+def _list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct segments of each block: least id, whether a larger id has it too, first place, further places."""
+    for batch in batches:
+        for j in range(batch.num_rows):
+            body, sizes, ids = _block(batch["ids"], batch["sizes"], batch["body"], j)
+            anchor, digest, first, k = segments(body, sizes)
+            if not len(first):
+                continue
+            own = ids[np.searchsorted(np.cumsum(sizes), first, "right")]
+            order = np.argsort(digest, kind="stable")
+            d = digest[order]
+            head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            least = np.minimum.reduceat(own[order], head)
+            several = np.maximum.reduceat(own[order], head) != least
+            count = np.diff(head, append=len(order))
+            more: list = [None] * len(head)
+            for i in np.flatnonzero(count > 1).tolist():
+                more[i] = first[order[head[i] + 1 : head[i] + int(count[i])]].tobytes()
+            one = order[head]
+            yield pa.record_batch([
+                pa.array(anchor[one].view(np.int64)), pa.array(d[head].view(np.int64)), pa.array(least), pa.array(several),
+                pa.array(np.full(len(one), batch["block"][j].as_py())), pa.array(first[one]), pa.array(k[one].astype(np.int32)),
+                pa.array(more, pa.binary()),
+            ], names=["anchor", "digest", "least", "several", "block", "at", "windows", "more"])
 
 
-MARKS = "k1 long, k2 long, begin array<int>, end array<int>, least array<long>"
+JUDGED = "block long, at long, windows int, more binary, least long, marked boolean, open boolean"
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one shard sorted by anchor: distinct segments per anchor, and suffix arrays over blocks of whole anchors."""
-    block: list[tuple[tuple[int, int], bytes, int]] = []
-    size = 0
-    alone: list[tuple[tuple[int, int], bytes, int]] = []
-    current, group = None, {}
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order (anchor, digest, least): the least id of each digest, and which rows to compare further.
 
-    def out(items: list, packed: list) -> pa.RecordBatch:
-        k = np.array([i[0] for i in items], np.int64).reshape(-1, 2)
-        kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        lists = [pa.array([p[j] for p in packed], kinds[j]) for j in range(3)]
-        return pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), *lists], names=["k1", "k2", "begin", "end", "least"])
+    Between batches only the last digest's first row is held.
+    """
+    held: dict | None = None  # its row, whether it was given out, whether ids of its group differ
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held:
+            batch = pa.Table.from_batches([held["row"], batch]).combine_chunks().to_batches()[0]
+        a, d, least = (batch[c].to_numpy() for c in ("anchor", "digest", "least"))
+        several = batch["several"].to_numpy(zero_copy_only=False)
+        new_a = np.concatenate([[True], a[1:] != a[:-1]])
+        new_d = new_a | np.concatenate([[True], d[1:] != d[:-1]])
+        first_d = np.flatnonzero(new_d)
+        of_d = np.cumsum(new_d) - 1
+        lowest = least[first_d][of_d]  # the first row of a digest has its least id
+        marked = several | (least > lowest)
+        first_a = np.flatnonzero(new_a)
+        of_a = np.cumsum(new_a) - 1
+        digests = np.add.reduceat(new_d.astype(np.int64), first_a)
+        differ = np.logical_or.reduceat(several, first_a) | (np.minimum.reduceat(least, first_a) != np.maximum.reduceat(least, first_a))
+        if held:
+            differ[0] |= held["differ"]
+        tail = len(first_a) - 1
+        compare = (digests > 1) & differ
+        compare[tail] = digests[tail] > 1  # what follows may differ
+        if held and held["given"]:
+            compare[0] = True
+        # Further rows at the least id (ids that repeat) are compared in any case, so that they need not be held.
+        open_ = (compare[of_a] | ~new_d) & (least == lowest)
+        out = marked | open_
+        if held:
+            # The held row was given out as marked if it was; here only its comparison is new.
+            marked[0] = marked[0] and not held["marked"]
+            open_[0] = open_[0] and not held["given"]
+            out[0] = marked[0] or open_[0]
+        keep = pa.array(out)
+        yield pa.record_batch([
+            batch["block"].filter(keep), batch["at"].filter(keep), batch["windows"].filter(keep), batch["more"].filter(keep),
+            pa.array(lowest[out]), pa.array(marked[out]), pa.array(open_[out]),
+        ], names=["block", "at", "windows", "more", "least", "marked", "open"])
+        p = int(first_d[-1])
+        repeated = bool(held) and p == 0
+        held = {
+            "row": batch.slice(p, 1),
+            "marked": bool(marked[p]) or (repeated and held["marked"]),
+            "given": bool(open_[p]) or (repeated and held["given"]),
+            "differ": bool(differ[tail]),
+        }
+
+
+# ------------------------------------------------------------ pieces, shards
+
+
+#: ``piece``: the bytes before (``left`` of them) and after those that all windows of the piece hold.
+PIECES = "key long, least long, block long, at long, more binary, shift int, left int, piece binary"
+_PIECE_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+_PIECE_NAMES = ["key", "least", "block", "at", "more", "shift", "left", "piece"]
+#: Windows of a piece at the first cut: those with the anchor in their first 16 places, or in the others.
+WIDTH = 16
+_STEP = U(0xD6E8FEB86659FD93)
+
+
+def _pieces_table(columns: list) -> pa.Table:
+    return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, _PIECE_KINDS)], names=_PIECE_NAMES)
+
+
+def _cut_pieces(blocks: pa.Table, open_: pa.Table) -> pa.Table:
+    """The pieces of a block's open segments: runs of windows with one anchor place in one half of its range.
+
+    All windows of a piece hold the same 35 bytes, whose hash is the key.
+    """
+    if not len(blocks) or not len(open_):
+        return _pieces_table([[] for _ in _PIECE_NAMES])
+    body, _, _ = _block(*(blocks[c].combine_chunks() for c in ("ids", "sizes", "body")), 0)
+    open_ = open_.combine_chunks()
+    value = grams(body)
+    at, k = open_["at"].to_numpy(), open_["windows"].to_numpy().astype(np.int64)
+    spot = _anchor_spots(value, at, k)
+    one, several = np.flatnonzero(spot >= 0), np.flatnonzero(spot < 0)
+    # A segment with its anchor at one place has two runs at most.
+    middle = np.clip(spot - (WIDTH - 1), 0, k)[one]
+    row, first, last = np.tile(one, 2), np.append(np.zeros(len(one), np.int64), middle), np.append(middle, k[one])
+    place, low = spot[row], np.repeat([WIDTH, 0], len(one))
+    if len(several):
+        runs = [(i, *x) for i in several.tolist() for x in _runs(value[at[i] : at[i] + k[i] + WINDOWS - 1], int(k[i]))]
+        row, first, last, place, low = (np.append(u, [r[j] for r in runs]) for j, u in enumerate((row, first, last, place, low)))
+    some = np.flatnonzero(last > first)
+    row, first, last, place, low = row[some], first[some], last[some], place[some], low[some]
+    begin, end = at[row] + first, at[row] + last - 1 + LENGTH
+    shared = at[row] + place - low  # 35 bytes from here on
+    size = LENGTH - (WIDTH - 1)
+    key = finish(value[shared] * _STEP + value[shared + size - GRAM] + low.astype(U)).view(np.int64)
+    left, right = shared - begin, end - shared - size
+    starts = np.stack([begin, shared + size], 1).ravel()
+    sizes = np.stack([left, right], 1).ravel()
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    flat = body[np.repeat(starts - cuts[:-1], sizes) + np.arange(int(cuts[-1]))]
+    piece = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts[::2].astype(np.int32)), pa.py_buffer(flat)])
+    taken = open_.take(pa.array(row))
+    number = np.full(len(row), blocks["block"][0].as_py())
+    return _pieces_table([key, taken["least"], number, taken["at"], taken["more"], first.astype(np.int32), left.astype(np.int32), piece])
+
+
+def _runs(value: np.ndarray, windows: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, last + 1, anchor's place, least distance to it): runs with one anchor place and half."""
+    begin, key = 0, None
+    for i in range(windows + 1):
+        now = None
+        if i < windows:
+            p = i + int(value[i : i + WINDOWS].argmin())
+            now = (p, (p - i) // WIDTH * WIDTH)
+        if now != key:
+            if key is not None:
+                yield begin, i, *key
+            begin, key = i, now
+
+
+def _anchor_spots(value: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Per segment the place of its anchor, -1 where the anchor's gram stands at several."""
+    out = np.empty(len(at), np.int64)
+    j = np.arange(2 * WINDOWS - 1)
+    for b in range(0, len(at), 4096):
+        a, k = at[b : b + 4096, None], windows[b : b + 4096, None]
+        inside = j < k + WINDOWS - 1
+        hashes = np.where(inside, value[np.minimum(a + j, len(value) - 1)], U(2**64 - 1))
+        low = hashes[:, :WINDOWS].min(1)
+        same = (hashes == low[:, None]) & inside
+        out[b : b + 4096] = np.where(same.sum(1) == 1, same.argmax(1), -1)
+    return out
+
+
+def _cut_again(width: int):
+    """Pieces of windows at ``width`` places into pieces at half as many, whose windows hold half as many bytes more."""
+    half = width // 2
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in _PIECE_NAMES]
+            for row in batch.to_pylist():
+                before, after = row["piece"][: row["left"]], row["piece"][row["left"] :]
+                # A window takes j bytes before and width - 1 - j after what is shared; j falls from len(before).
+                most, least = len(before), width - 1 - len(after)
+                new = []
+                if most >= half:  # these hold the last ``half`` bytes before it
+                    low = max(least, half)
+                    new.append((1, before[-half:], before[:-half], after[: width - 1 - low], row["shift"]))
+                if least < half:  # these hold the first ``half`` bytes after it
+                    high = min(most, half - 1)
+                    new.append((0, after[:half], before[most - high :], after[half:], row["shift"] + most - high))
+                for side, shared, x, y, shift in new:
+                    mark = hashlib.blake2b(row["key"].to_bytes(8, "little", signed=True) + bytes([side]) + shared, digest_size=8).digest()
+                    one = (int.from_bytes(mark, "little", signed=True), row["least"], row["block"], row["at"], row["more"], shift, len(x), x + y)
+                    for column, v in zip(columns, one):
+                        column.append(v)
+            yield from _pieces_table(columns).to_batches()
+
+    return cut
+
+
+MARKS = "block long, at long, more binary, begin int, end int, least long"
+
+
+def _shard(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in the order (key, least): suffix arrays over blocks of whole groups, and the windows that smaller ids have.
+
+    The bytes that all windows of a group hold stand as two bytes that number the
+    group in its array.  A group of one row, or of one id, has nothing to lose.
+    """
+    texts: list[bytes] = []
+    least_of_text: list[int] = []
+    rows: list[tuple] = []  # block, at, more, shift, id, text
+    size = number = 0
+    pending: pa.Table | None = None
 
     def flush() -> pa.RecordBatch:
-        marks = mark_windows([i[1] for i in block], np.array([i[2] for i in block], np.int64))
-        return out(block, [_pack_runs(m) for m in marks])
-
-    def settled() -> pa.RecordBatch:
-        return out(alone, [([0], [len(i[1]) - LENGTH + 1], [i[2]]) for i in alone])
-
-    def close() -> None:
-        nonlocal size
-        items = [(k, s, r) for k, (s, r) in group.items()]
-        if len(items) == 1:  # nothing to compare with
-            alone.extend(items)
-        else:
-            block.extend(items)
-            size += sum(len(i[1]) + 1 for i in items)
+        nonlocal size, number
+        found: list[list] = [[] for _ in range(6)]
+        runs = [_pack_runs(m) for m in mark_windows(texts, np.array(least_of_text, np.int64), width + 1)]
+        for block, at, more, shift, own, text in rows:
+            for b, e, v in zip(*runs[text]):
+                if v < own:
+                    for column, x in zip(found, (block, at, more, shift + b, shift + e, v)):
+                        column.append(x)
+        texts.clear(), least_of_text.clear(), rows.clear()
+        size = number = 0
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(found, kinds)], names=["block", "at", "more", "begin", "end", "least"])
+
+    def groups(batch: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+        """Take the groups of a table in; the last one waits unless ``whole``."""
+        nonlocal size, number, pending
+        key, least = batch["key"].to_numpy(), batch["least"].to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        end = np.append(head[1:], len(key))
+        pending = None
+        if not whole:
+            pending = batch.slice(int(head[-1]))
+            head, end = head[:-1], end[:-1]
+        some = least[head] != least[end - 1]
+        for a, b in zip(head[some].tolist(), end[some].tolist()):
+            part = batch.slice(a, b - a)
+            mine = list(zip(part["left"].to_pylist(), part["piece"].to_pylist()))
+            where = {}  # equal pieces stand once, with the id of the first
+            for x, i in zip(mine, least[a:b].tolist()):
+                where.setdefault(x, (len(where), i))
+            total = sum(len(x) + 3 for _, x in where)
+            if texts and (size + total > ARRAY_BYTES or number == 1 << 16):
+                yield flush()
+            name = number.to_bytes(2, "little")
+            number += 1
+            rows.extend((*r, i, len(texts) + where[x][0]) for *r, i, x in zip(
+                *(part[c].to_pylist() for c in ("block", "at", "more", "shift", "least")), mine))
+            texts.extend(x[:left] + name + x[left:] for left, x in where)
+            least_of_text.extend(i for _, i in where.values())
+            size += total
 
     for batch in batches:
-        columns = (batch[c].to_pylist() for c in ("anchor", "k1", "k2", "segment", "row"))
-        for anchor, k1, k2, segment, row in zip(*columns):
-            if anchor != current:
-                if group:
-                    close()
-                    group = {}
-                if size >= BLOCK_BYTES:
-                    yield flush()
-                    block, size = [], 0
-                if len(alone) >= 20_000:
-                    yield settled()
-                    alone = []
-                current = anchor
-            old = group.get((k1, k2))
-            if old is None or old[1] > row:
-                group[(k1, k2)] = (segment, row)
-    if group:
-        close()
-    if block:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            if pending is not None:
+                table = pa.concat_tables([pending, table])
+            yield from groups(table.combine_chunks(), False)
+    if pending is not None:
+        yield from groups(pending.combine_chunks(), True)
+    if texts:
         yield flush()
-    if alone:
-        yield settled()
 
 
-def _hot_windows(hot: DataFrame) -> DataFrame:
-    """The same marks for anchors with very many segments, window by window."""
-    at = F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH)).alias("at")
-    rows = hot.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.first("segment").alias("segment")).select("k1", "k2", "row", "segment", at)
-    rows = rows.select("k1", "k2", "row", "at", F.substring("segment", F.col("at") + 1, F.lit(LENGTH)).alias("w"))
-    least = rows.groupBy("w").agg(F.min("row").alias("least"))
-    found = rows.join(least, "w").select("k1", "k2", F.col("at").alias("begin"), (F.col("at") + 1).alias("end"), "least")
-    one = lambda c: F.transform("runs", lambda r: r[c]).alias(c)
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end", "least")).alias("runs")).select(
-        "k1", "k2", one("begin"), one("end"), one("least"))
+def _pack_runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Runs of equal values: first, one past the last, value."""
+    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
+    a = np.concatenate([[0], cut])
+    return a.tolist(), np.append(cut, len(values)).tolist(), values[a].tolist()
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Apply the marked windows (begin, end pairs per document) to the bytes."""
-    for batch in batches:
-        out: list[tuple] = []
-        for k in range(batch.num_rows):
-            raw = batch["body"][k].as_py()
-            marks = batch["marks"][k].as_py() or []
-            n = len(raw)
-            step = np.zeros(n + 1, np.int64)
-            for m in marks:
-                step[m["from"]] += 1
-                step[m["to"] - 1 + LENGTH] -= 1
-            gone = np.cumsum(step[:n]) > 0
-            edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(marks) else raw
-            begin, end = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
-            out.append((batch["doc_id"][k].as_py(), n, int(gone.sum()), len(begin), hashlib.sha256(kept).hexdigest(), begin, end))
-        cols = list(zip(*out)) or [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=RESULT_NAMES)
+# ------------------------------------------------------------ removal
+
+
+def _remove(blocks: pa.Table, marks: pa.Table) -> pa.Table:
+    """Apply the marked windows of a block to its documents."""
+    body, sizes, ids = _block(*(blocks[c].combine_chunks() for c in ("ids", "sizes", "body")), 0)
+    ends = np.cumsum(sizes)
+    n = len(body)
+    step = np.zeros(n + 1, np.int32)
+    if len(marks):
+        at, begin, end, least = (marks[c].to_numpy() for c in ("at", "begin", "end", "least"))
+        more = marks["more"].combine_chunks()
+        with_more = np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False))
+        further = [np.frombuffer(more[int(i)].as_buffer(), np.int64) for i in with_more]
+        which = np.concatenate([np.arange(len(at)), np.repeat(with_more, [len(f) for f in further])]).astype(np.int64)
+        at = np.concatenate([at, *further])
+        begin, end, least = begin[which], end[which], least[which]
+        good = least < ids[np.searchsorted(ends, at, "right")]
+        np.add.at(step, (at + begin)[good], 1)
+        np.add.at(step, (at + end - 1 + LENGTH)[good], -1)
+    gone = np.cumsum(step[:n]) > 0
+    # Edges of runs; a document's begin ends the run before it.
+    flag = np.concatenate([[False], gone, [False]])
+    up, down = flag[1:] & ~flag[:-1], ~flag[1:] & flag[:-1]
+    starts = ends - sizes
+    inner = starts[(starts > 0) & (sizes > 0)]
+    split = inner[flag[inner] & flag[inner + 1]]
+    up[split] = down[split] = True
+    up, down = np.flatnonzero(up), np.flatnonzero(down)
+    before = np.concatenate([[0], np.cumsum(gone)])
+    removed = before[ends] - before[starts]
+    first, last = np.searchsorted(up, starts), np.searchsorted(up, ends)
+    kept = body[~gone].tobytes()
+    left = np.arange(n + 1) - before
+    digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(left[starts].tolist(), left[ends].tolist())]
+    spans = [pa.ListArray.from_arrays(pa.array(np.append(first, last[-1:]).astype(np.int32)), pa.array((edge - np.repeat(starts, last - first)).astype(np.int64)))
+             for edge in (up, down)]
+    return pa.table([
+        blocks["ids"].combine_chunks().flatten(), pa.array(sizes), pa.array(removed.astype(np.int64)), pa.array((last - first).astype(np.int64)),
+        pa.array(digests, pa.string()), *spans,
+    ], names=RESULT_NAMES)
 
 
 RESULT_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_begin", "span_end"]
@@ -478,33 +668,43 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_begin, span_end (bytes).
 
     Null texts are empty.  A null id counts as larger than all others.  Rows that
-    repeat an id have that id's rank: their texts are not held against each
-    other, only against smaller ids.  Texts under 50 bytes lose nothing.
+    repeat an id have that id's rank, whatever their texts: they are not held
+    against each other, only against smaller ids.  Texts under 50 bytes lose
+    nothing.  Further columns are not read.
     """
-    big = 2**63 - 2
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches = {"spark__sql__execution__arrow__maxRecordsPerBatch": "50000", "spark__sql__execution__arrow__maxBytesPerBatch": str(4 << 20)}
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("body"))
-    base = base.withColumn("row", F.coalesce("doc_id", F.lit(big)))
-    listed = base.where(F.length("body") >= LENGTH).select("row", "body").mapInArrow(_list_anchors, "anchor long, row long")
-    listed = listed.repartition(parts, "anchor").sortWithinPartitions("anchor", "row").mapInArrow(_shared_anchors, "row long, anchor long")
-    held = persist(spark, listed.groupBy("row").agg(F.collect_set("anchor").alias("anchors")), "suffix-anchors")
-    cut = base.select("row", "body").join(held, "row").mapInArrow(_cut_segments, SEGMENTS)
-    with small_batches(spark):
-        segments = persist(spark, cut, "suffix-segments")
-
-    distinct = segments.where("segment IS NOT NULL").select("anchor", "k1", "k2", "segment", "row")
-    hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
-    hot = persist(spark, hot, "suffix-hot")
-    usual = distinct.join(hot, "anchor", "left_anti")
-    shards = usual.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    marks = persist(spark, shards.mapInArrow(_shard, MARKS).unionByName(_hot_windows(distinct.join(hot, "anchor", "left_semi"))), "suffix-marks")
-
-    runs_ = marks.select("k1", "k2", F.arrays_zip("begin", "end", "least").alias("runs"))
-    found = segments.select("row", "k1", "k2", "first").join(runs_, ["k1", "k2"])
-    mine = F.filter("runs", lambda r: r["least"] < F.col("row"))
-    shift = F.transform(mine, lambda r: F.struct((r["begin"] + F.col("first")).alias("from"), (r["end"] + F.col("first")).alias("to")))
-    found = found.withColumn("marks", shift).where(F.size("marks") > 0)
-    per_doc = persist(spark, found.groupBy("row").agg(F.flatten(F.collect_list("marks")).alias("marks")), "suffix-removed")
-    for table in (held, segments, hot, marks):  # they have served
-        drop(spark, table)
-    return base.join(per_doc, "row", "left").select("doc_id", "body", "marks").mapInArrow(_remove, RESULT)
+    with settings(spark, **batches):
+        blocks = persist(spark, base.mapInArrow(_pack_blocks, BLOCKS), "suffix-blocks")
+        listed = blocks.mapInArrow(_list_segments, LISTED).repartition(parts, "anchor").sortWithinPartitions("anchor", "digest", "least")
+        judged = persist(spark, listed.mapInArrow(_judge, JUDGED), "suffix-judged")
+
+        open_ = judged.where("open").select("block", "at", "windows", "more", "least")
+        cut = blocks.groupBy("block").cogroup(open_.groupBy("block")).applyInArrow(_cut_pieces, PIECES)
+        pieces = persist(spark, cut, "suffix-pieces")
+        found = []
+        width = WIDTH
+        while True:
+            large = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("first")).where(F.col("n") > GROUP_PIECES)
+            large = persist(spark, large.select("key", "first"), "suffix-large")
+            ended = large.isEmpty()
+            usual = pieces if ended else pieces.join(large, "key", "left_anti")
+            usual = usual.repartition(parts, "key").sortWithinPartitions("key", "least")
+            found.append(persist(spark, usual.mapInArrow(partial(_shard, width), MARKS), "suffix-marks"))
+            if ended:
+                break
+            rest = pieces.join(large, "key")
+            if width == 1:  # pieces of one window: those with one key are equal
+                end = (F.col("shift") + 1).alias("end")
+                equal = rest.where("first < least").select("block", "at", "more", F.col("shift").alias("begin"), end, F.col("first").alias("least"))
+                found.append(persist(spark, equal, "suffix-marks"))
+                break
+            again = persist(spark, rest.drop("first").mapInArrow(_cut_again(width), PIECES), "suffix-pieces")
+            drop(spark, pieces)
+            pieces, width = again, width // 2
+        drop(spark, pieces)
+    marks = judged.where("marked").select("block", "at", "more", F.lit(0).alias("begin"), F.col("windows").alias("end"), "least")
+    for table in found:
+        marks = marks.unionByName(table)
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, RESULT)

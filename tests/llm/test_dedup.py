@@ -7,7 +7,7 @@ import pytest
 from pagewarden.llm import exact_dedup as X
 from pagewarden.llm.components import components
 from pagewarden.llm.jaccard import bands_for, drop_near_copies, jaccard_join, shingles
-from pagewarden.llm.suffix import anchors, mark_windows, permuted_prefixes, remove_repeats, suffix_array
+from pagewarden.llm.suffix import mark_windows, permuted_prefixes, remove_repeats, segments, suffix_array
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(40_000))
 
@@ -114,7 +114,11 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100
 
 
-def test_suffix_array_and_prefixes():
+@pytest.mark.parametrize("narrow", [0, 1000])
+def test_suffix_array_and_prefixes(monkeypatch, narrow):
+    from pagewarden.llm import suffix as S
+
+    monkeypatch.setattr(S, "NARROW", narrow)  # both ways to induce
     rng = np.random.default_rng(5)
     for _ in range(150):
         t = rng.integers(0, rng.integers(1, 5) + 1, rng.integers(0, 60)).astype(np.uint16)
@@ -126,49 +130,102 @@ def test_suffix_array_and_prefixes():
             while n < 7 and i + n < len(t) and j + n < len(t) and t[i + n] == t[j + n]:
                 n += 1
             assert p[i] == n
+    t = np.frombuffer(b"abcabcabd" * 300 + b"x" * 500, np.uint8)
+    assert suffix_array(t, 257).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
 
 
-def test_anchor_depends_on_window_only():
+def test_segments_hold_each_window_once():
+    """Equal windows have equal anchors; segments of a block never leave a document."""
     rng = np.random.default_rng(6)
-    b = np.concatenate([rng.integers(97, 100, 300), np.full(120, 97), rng.integers(97, 100, 300)]).astype(np.uint8)
-    low, place = anchors(b)
-    seen = {}
-    for i in range(len(low)):
-        assert seen.setdefault(b[i : i + 50].tobytes(), (low[i], place[i] - i)) == (low[i], place[i] - i)
+    b = np.concatenate([rng.integers(97, 100, 300), np.full(120, 97), rng.integers(97, 100, 300), np.zeros(30), rng.integers(97, 100, 60)]).astype(np.uint8)
+    sizes = np.array([0, 400, 0, 49, 271, 0, 90])
+    ends = np.cumsum(sizes)
+    anchor, digest, first, windows = segments(b, sizes)
+    seen, at = {}, []
+    for h, a, k in zip(anchor.tolist(), first.tolist(), windows.tolist()):
+        assert 1 <= k <= 31 and a + k + 49 <= ends[np.searchsorted(ends, a, "right")]
+        for i in range(a, a + k):
+            assert seen.setdefault(b[i : i + 50].tobytes(), h) == h
+        at += range(a, a + k)
+    assert at == [i for e, n in zip(ends.tolist(), sizes.tolist()) for i in range(e - n, e - 49)]
+    texts = [b[a : a + k + 49].tobytes() for a, k in zip(first.tolist(), windows.tolist())]
+    assert len(set(texts)) == len(set(digest.tolist())) == len(set(zip(texts, digest.tolist())))
 
 
 def brute_repeats(rows):
-    first, out = {}, {}
-    data = [(k, (t or "").encode()) for k, t in rows]
+    """(id, bytes, removed, spans, digest) of each row; null ids come after all."""
+    first, out = {}, []
+    data = [(2**63 if k is None else k, (t or "").encode()) for k, t in rows]
     for k, b in data:
         for i in range(len(b) - 49):
             w = b[i : i + 50]
             first[w] = min(first.get(w, k), k)
-    for k, b in data:
+    for (k, b), (own, _) in zip(data, rows):
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - 49):
             if first[b[i : i + 50]] < k:
                 gone[i : i + 50] = True
         edge = np.diff(np.concatenate([[0], gone.astype(int)]))
-        out[k] = (len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
-    return out
+        out.append((own, len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_remove_repeats(spark, docs_of, monkeypatch, hot):
+def removed(df):
+    return sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize(("group", "block"), [(12_000, 1 << 20), (2, 300)])
+def test_remove_repeats(spark, docs_of, monkeypatch, group, block):
+    """Against brute force; with small limits, groups are cut down to single windows and blocks hold few documents."""
     from pagewarden.llm import suffix as S
 
-    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "GROUP_PIECES", group)
+    monkeypatch.setattr(S, "BLOCK_BYTES", block)
     rng = np.random.default_rng(7)
     word = lambda n: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, n))
     shared, other = word(120), word(70) + "é" * 30
     rows = [(0, word(80) + shared), (1, shared), (2, shared[10:80] + word(30) + shared[:60]), (3, None), (4, ""), (5, "x" * 400), (6, "x" * 200 + word(9)),
             (7, other), (8, word(5) + other + shared), (9, shared[:49]), (10, shared[:50]), (12, other[:60] + shared[60:] + other[:60])]
     rows += [(20 + i, word(20) + shared + word(20)) for i in range(6)] + [(40, "z" * 120)]
-    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in remove_repeats(spark, docs_of(rows)).collect()}
-    assert got == brute_repeats(rows)
+    # Ids that repeat, with the same, other and shorter texts; rows without id.
+    rows += [(5, word(300)), (5, shared), (5, shared), (5, word(3)), (None, shared + word(60)), (None, other), (None, None), (-3, shared[20:90])]
+    assert removed(remove_repeats(spark, docs_of(rows))) == brute_repeats(rows)
     assert remove_repeats(spark, docs_of(rows).limit(0)).count() == 0
-    assert remove_repeats(spark, docs_of([(1, shared), (1, shared), (None, shared)])).count() == 3
+
+
+def test_remove_repeats_of_long_texts(spark, docs_of):
+    rows = [(1, LONG), (2, LONG[1000:] + "tail"), (3, LONG[:90_000])]
+    assert removed(remove_repeats(spark, docs_of(rows))) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_judge_in_small_batches(seed):
+    """What is given out does not depend on where batches end."""
+    import pyarrow as pa
+    from pagewarden.llm import suffix as S
+
+    rng = np.random.default_rng(seed)
+    n = 300
+    rows = sorted(zip(rng.integers(0, 40, n).tolist(), rng.integers(0, 4, n).tolist(), rng.integers(0, 9, n).tolist(), (rng.random(n) < 0.2).tolist()))
+    kinds = {"anchor": pa.int64(), "digest": pa.int64(), "least": pa.int64(), "several": pa.bool_()}
+    table = pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(kinds.items())})
+    for c, t in (("block", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("more", pa.binary())):
+        table = table.append_column(c, pa.array(range(n), t) if c == "at" else pa.nulls(n, t) if c == "more" else pa.array([1] * n, t))
+    marked, compared = set(), set()
+    first = {}
+    for a, d, i, _ in rows:
+        first[a, d] = min(first.get((a, d), i), i)
+    for j, (a, d, i, several) in enumerate(rows):
+        if several or i > first[a, d]:
+            marked.add((j, first[a, d]))
+        ids = {x[2] for x in rows if x[0] == a}
+        more = any(x[3] for x in rows if x[0] == a) or len(ids) > 1
+        if i == first[a, d] and more and len({x[1] for x in rows if x[0] == a}) > 1:
+            compared.add(j)
+    for size in (1, 2, 7, 1000):
+        got = [r for b in S._judge(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert {(r["at"], r["least"]) for r in got if r["marked"]} == marked and sum(r["marked"] for r in got) == len(marked)
+        assert compared <= {r["at"] for r in got if r["open"]}  # more may be compared, to no effect
 
 
 def test_mark_windows():
