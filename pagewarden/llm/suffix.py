@@ -347,7 +347,8 @@ def _block(ids: pa.Array, sizes: pa.Array, body: pa.Array, k: int) -> tuple[np.n
     return np.frombuffer(body[k].as_buffer(), np.uint8), sizes[k].values.to_numpy(zero_copy_only=False).astype(np.int64), own
 
 
-LISTED = "anchor long, digest long, least long, several boolean, block long, at long, windows int, more binary"
+#: ``place``: first byte, windows and whether several ids have the segment, in one number; a row takes 16 bytes that say nothing of each other.
+LISTED = "anchor long, digest long, least long, block long, place long, more binary"
 
 
 def _list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,10 +371,10 @@ def _list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 more[i] = first[order[head[i] + 1 : head[i] + int(count[i])]].tobytes()
             one = order[head]
             yield pa.record_batch([
-                pa.array(anchor[one].view(np.int64)), pa.array(d[head].view(np.int64)), pa.array(least), pa.array(several),
-                pa.array(np.full(len(one), batch["block"][j].as_py())), pa.array(first[one]), pa.array(k[one].astype(np.int32)),
+                pa.array(anchor[one].view(np.int64)), pa.array(d[head].view(np.int64)), pa.array(least),
+                pa.array(np.full(len(one), batch["block"][j].as_py())), pa.array((first[one] << 6) | (k[one] << 1) | several),
                 pa.array(more, pa.binary()),
-            ], names=["anchor", "digest", "least", "several", "block", "at", "windows", "more"])
+            ], names=["anchor", "digest", "least", "block", "place", "more"])
 
 
 JUDGED = "block long, at long, windows int, more binary, least long, marked boolean, open boolean"
@@ -390,8 +391,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if held:
             batch = pa.Table.from_batches([held["row"], batch]).combine_chunks().to_batches()[0]
-        a, d, least = (batch[c].to_numpy() for c in ("anchor", "digest", "least"))
-        several = batch["several"].to_numpy(zero_copy_only=False)
+        a, d, least, place = (batch[c].to_numpy() for c in ("anchor", "digest", "least", "place"))
+        several = (place & 1).astype(bool)
         new_a = np.concatenate([[True], a[1:] != a[:-1]])
         new_d = new_a | np.concatenate([[True], d[1:] != d[:-1]])
         first_d = np.flatnonzero(new_d)
@@ -419,7 +420,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0] = marked[0] or open_[0]
         keep = pa.array(out)
         yield pa.record_batch([
-            batch["block"].filter(keep), batch["at"].filter(keep), batch["windows"].filter(keep), batch["more"].filter(keep),
+            batch["block"].filter(keep), pa.array(place[out] >> 6), pa.array((place[out] >> 1 & 31).astype(np.int32)), batch["more"].filter(keep),
             pa.array(lowest[out]), pa.array(marked[out]), pa.array(open_[out]),
         ], names=["block", "at", "windows", "more", "least", "marked", "open"])
         p = int(first_d[-1])
