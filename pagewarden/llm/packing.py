@@ -4,12 +4,14 @@ Only the histogram of piece lengths (at most ``capacity`` numbers) decides how
 lengths share sequences, so the solving is the same work at any corpus size:
 
 1. The covering program (least number of configurations that together hold each
-   length as often as it occurs) is solved by multiplicative weights: lengths
-   not yet covered weigh more; a knapsack dynamic program over the capacity
-   finds the configuration of greatest weight.
-2. The fractional solution is rounded down; what is left of the histogram is
-   packed best-fit decreasing, on counts, first into room left in the rounded
-   configurations' own sequences, then into new ones.
+   length as often as it occurs) is solved by multiplicative weights: a length's
+   price falls exponentially with the share of it that is covered; a knapsack
+   dynamic program over the capacity finds the greatest price a sequence can hold
+   and, from each length, configurations within ``tolerance`` of it.  Each table
+   of prices also gives a lower bound, its dual.
+2. The fractional solution is rounded, and what is left is solved anew, until a
+   round places little.  The last pieces go best-fit into the room left, then
+   into new sequences.
 3. Pieces are dealt to the places of the configurations by their rank within
    their length.  Ranks come from counts per (task, length), joined back, so no
    length gathers in one task.
@@ -21,6 +23,7 @@ import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,66 +37,90 @@ from .tokens import END_ID, encoder, portions
 CAPACITY = 2048
 
 
-def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each capacity up to ``capacity`` the greatest value, sizes repeating, and the size taken last (-1: none fits)."""
+def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int, choices: int = 32) -> tuple[np.ndarray, list[list[int]]]:
+    """For each capacity the greatest value, sizes repeating, and the best sizes to take last, the best one first."""
     best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
+    last: list[list[int]] = [[]] * (capacity + 1)
+    fit = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for c in range(int(sizes[0]), capacity + 1):
-        k = bisect.bisect_right(sizes, c)
+        k = fit[c]
         gain = best[c - sizes[:k]] + values[:k]
-        j = int(gain.argmax())
-        best[c], choice[c] = (gain[j], j) if gain[j] > best[c - 1] else (best[c - 1], -1)
-    return best, choice
+        top = np.argpartition(gain, k - choices)[k - choices :] if k > choices else np.arange(k)
+        top = top[np.argsort(-gain[top], kind="stable")]
+        best[c] = max(gain[top[0]], best[c - 1])
+        last[c] = top[gain[top] >= 0.995 * best[c]].tolist()
+    return best, last
 
 
-def solve(histogram: dict[int, int], capacity: int, eps: float = 0.2, most_phases: int = 60) -> list[tuple[dict[int, int], int]]:
-    """Configurations [({length: count}, times)] from the rounded linear program; they hold no length too often.
+class Fractional(NamedTuple):
+    """A fractional solution: configurations with their weights, the share of each length covered, and a lower bound."""
 
-    Multiplicative weights for the covering program: a length's price falls
-    exponentially with the share of its demand that is covered.  A phase prices
-    once by dynamic programming and takes, for each length, the best
-    configuration that holds it, if it is within 1 - eps of the best of all.
-    Phases end when each length is covered ``1 / eps`` times over a step.
+    sizes: np.ndarray
+    weights: dict[tuple, float]
+    share: np.ndarray
+    bound: float
+
+
+def solve(histogram: dict[int, int], capacity: int, eps: float = 0.5, tolerance: float = 0.01, most_phases: int = 60) -> Fractional:
+    """Multiplicative weights for the covering program; no length is covered more than once over.
+
+    A phase covers at most ``eps`` of a length.  Only configurations within
+    ``tolerance`` of the greatest price are taken; phases end when these run out.
     """
     sizes = np.array(sorted(histogram), np.int64)
-    if not len(sizes):
-        return []
     demand = np.array([histogram[int(s)] for s in sizes], float)
-    found: dict[tuple, float] = {}
-    cover = np.zeros(len(sizes))
-    rate = np.log(len(sizes) + 1) / eps
+    left, weights, bound, limit, poor = demand.copy(), {}, 0.0, tolerance / 4, 0
     for _ in range(most_phases):
-        share = cover / demand
-        if share.min() >= 1:
+        live = np.flatnonzero(left > 1e-9 * demand)
+        if not len(live) or poor > 2:
             break
-        # Volume prices, tilted towards what is covered least.
-        price = sizes / capacity * np.exp(-rate * eps * np.clip(share - share.min(), 0, 3))
-        best, choice = knapsack(sizes, price, capacity)
-        for j in np.argsort(share, kind="stable"):
-            if cover[j] >= demand[j] or price[j] + best[capacity - sizes[j]] < (1 - eps) * best[capacity]:
-                continue
-            config, c = Counter({int(j): 1}), capacity - int(sizes[j])
-            while c > 0:
-                if choice[c] < 0:
-                    c -= 1
-                    continue
-                config[int(choice[c])] += 1
-                c -= int(sizes[choice[c]])
-            key = tuple(sorted((k, min(n, int(demand[k]))) for k, n in config.items()))
-            step = eps * min(demand[k] / n for k, n in key)
-            found[key] = found.get(key, 0.0) + step
-            for k, n in key:
-                cover[k] += n * step
-    # Scale back what is covered too often, then round down, fullest configurations first.
-    left = demand.astype(np.int64).copy()
-    out: list[tuple[dict[int, int], int]] = []
-    for key in sorted(found, key=lambda k: (-sum(int(sizes[j]) * n for j, n in k), -found[k], k)):
-        scaled = found[key] * min(1.0, 1 / max(cover[j] / demand[j] for j, _ in key)) if cover.any() else 0.0
-        times = int(min(min(left[j] // n for j, n in key), np.floor(scaled)))
+        size = sizes[live]
+        price = size / capacity * np.exp(left[live] / demand[live] - 1)
+        best, last = knapsack(size, price, capacity)
+        bound = max(bound, float(demand[live] @ price) / best[capacity])
+        budget = np.minimum(left[live], eps * demand[live]).tolist()
+        lengths, most, prices = size.tolist(), demand[live].tolist(), price.tolist()
+        least, moved = (1 - limit) * best[capacity], 0.0
+        for j in range(len(live) - 1, -1, -1):
+            while budget[j] > 1e-9 * most[j]:
+                config, c = {j: 1}, capacity - lengths[j]
+                while c > 0:
+                    i = next((i for i in last[c] if budget[i] > 1e-9 * most[i] and config.get(i, 0) < most[i]), -1)
+                    if i < 0:
+                        c -= 1
+                        continue
+                    config[i] = config.get(i, 0) + 1
+                    c -= lengths[i]
+                if sum(prices[i] * n for i, n in config.items()) < least:
+                    break
+                step = min(budget[i] / n for i, n in config.items())
+                key = tuple(sorted((lengths[i], n) for i, n in config.items()))
+                weights[key] = weights.get(key, 0.0) + step
+                moved += step * sum(s * n for s, n in key)
+                for i, n in config.items():
+                    budget[i] -= n * step
+                    left[live[i]] -= n * step
+        if moved < 0.1 * eps * float(left @ sizes):
+            poor += limit >= tolerance
+            limit = min(2 * limit, tolerance)
+        else:
+            poor = 0
+    return Fractional(sizes, weights, 1 - left / demand, bound)
+
+
+def rounded(weights: dict[tuple, float], left: dict[int, int]) -> list[tuple[tuple, int]]:
+    """Whole numbers of configurations, largest weights first; fractions add up to one more now and then.  Takes from ``left``."""
+    out, carry = [], 0.5
+    for key in sorted(weights, key=lambda k: (-weights[k], k)):
+        times = int(weights[key] + 1e-9)
+        carry += weights[key] - times
+        if carry >= 1:
+            times, carry = times + 1, carry - 1
+        times = min(times, *(left[s] // n for s, n in key))
         if times > 0:
-            out.append(({int(sizes[j]): n for j, n in key}, times))
-            for j, n in key:
-                left[j] -= n * times
+            out.append((key, times))
+            for s, n in key:
+                left[s] -= n * times
     return out
 
 
@@ -137,20 +164,42 @@ def best_fit(left: dict[int, int], open_: list[tuple[dict[int, int], int]], capa
     return [x for room in bins.values() for x in room]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+class Plan(NamedTuple):
+    """Configurations [({length: count}, times)], a lower bound of their number, and the pieces that the program placed."""
+
+    configurations: list[tuple[dict[int, int], int]]
+    bound: float
+    placed: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(t for _, t in self.configurations)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 16) -> Plan:
     """How often each configuration is used; every length exactly as often as the histogram has it.
 
-    Of the rounded linear program with its rest, and best-fit decreasing alone,
-    the one with fewer sequences (the program on a tie).
+    ``rounds``: how often the rounded rest is solved anew at most.  Whatever is
+    left then is placed best-fit, so no piece is lost.
     """
-    base = solve(histogram, capacity)
-    left = Counter(histogram)
-    for config, times in base:
-        for s, n in config.items():
-            left[s] -= n * times
-    rounded = best_fit({s: n for s, n in left.items() if n}, base, capacity)
-    plain = best_fit(dict(histogram), [], capacity)
-    return min((rounded, plain), key=lambda p: sum(t for _, t in p))
+    left = dict(histogram)
+    used: Counter = Counter()
+    bound, rest = 0.0, sum(left.values())
+    for k in range(rounds):
+        left = {s: n for s, n in left.items() if n}
+        if not left:
+            break
+        # The first solution is spread over more configurations; later ones take whole lengths at a step.
+        found = solve(left, capacity) if k == 0 else solve(left, capacity, eps=1.0)
+        bound = bound or found.bound
+        for key, times in rounded(found.weights, left):
+            used[key] += times
+        before, rest = rest, sum(left.values())
+        if before - rest < 0.1 * before:
+            break
+    whole = [(dict(key), times) for key, times in used.items()]
+    packed = best_fit({s: n for s, n in left.items() if n}, whole, capacity)
+    return Plan(packed, bound, sum(histogram.values()) - rest)
 
 
 class Places:
@@ -224,10 +273,11 @@ def pack(
         pieces = persist(spark, rows.mapInArrow(lambda b: _pieces(vocabulary, capacity, b), PIECES), "pack-pieces")
     counts = persist(spark, pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    places = Places(plan(histogram, capacity))
+    places = Places(plan(histogram, capacity).configurations)
     ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long")).drop("n")
-    ranked = pieces.join(first, ["task", "length"])
+    # A row for each task and length: it grows with the tasks, so it is never broadcast.
+    ranked = pieces.join(first.hint("merge"), ["task", "length"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

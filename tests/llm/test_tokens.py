@@ -96,19 +96,56 @@ def check_plan(histogram, plan, capacity=2048):
 
 
 def test_plans():
+    """The program places nearly all pieces by itself, near its own lower bound."""
     rng = np.random.default_rng(2)
-    for sizes in (rng.integers(1, 2049, 3000), rng.integers(600, 1025, 3000), np.full(50, 700), np.clip(np.exp(rng.normal(6, 1, 4000)).astype(int), 1, 2048)):
+    for sizes, gap, share in ((rng.integers(1, 2049, 3000), 1.04, 0.85), (rng.integers(600, 1025, 3000), 1.15, 0.3), (np.full(50, 700), 1.07, 1),
+                              (np.clip(np.exp(rng.normal(6, 1, 4000)).astype(int), 1, 2048), 1.01, 0.9)):
         h = dict(Counter(sizes.tolist()))
         plan = K.plan(h)
-        check_plan(h, plan)
+        check_plan(h, plan.configurations)
         check_plan(h, K.best_fit(dict(h), [], 2048))
-        assert sum(t for _, t in plan) <= sum(t for _, t in K.best_fit(dict(h), [], 2048))
-    assert K.solve({}, 2048) == [] and K.plan({}) == []
+        assert plan.bound - 1e-6 <= plan.sequences <= gap * plan.bound + 1 and plan.placed >= share * len(sizes)
+        assert plan.bound >= sizes.sum() / 2048 - 1e-6
+    assert K.plan({}) == K.Plan([], 0.0, 0)
     h = {1024: 100, 512: 200, 256: 400}
-    assert sum(t for _, t in K.plan(h)) == 150
+    assert K.plan(h).sequences == 150 == round(K.plan(h).bound)
     assert K.cut(2049, 2048) == [1, 2048] and K.cut(2048, 2048) == [2048] and K.cut(5, 2048) == [5]
 
 
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying all."""
+    sizes, best = sorted(sizes, reverse=True), len(sizes)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[i]:
+                less = list(rooms)
+                less.remove(room)
+                put(i + 1, [*less, room - sizes[i]])
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    put(0, [])
+    return best
+
+
+def test_plans_against_all_packings():
+    """At most one sequence more than the best of all packings, and the bound is never above it."""
+    rng, more = np.random.default_rng(3), 0
+    for _ in range(40):
+        sizes = rng.integers(1, 21, int(rng.integers(1, 10))).tolist()
+        plan, best = K.plan(dict(Counter(sizes)), 20), fewest(sizes, 20)
+        check_plan(dict(Counter(sizes)), plan.configurations, 20)
+        assert plan.bound <= best + 1e-9 <= plan.sequences + 1e-9 <= best + 1
+        more += plan.sequences - best
+    assert more <= 4
+
+
 def test_pack(spark, docs_of, plain):
     rows = [(i, "w " * (i * 37 % 900)) for i in range(60)] + [(100, "long text " * 4000), (101, None), (101, None), (None, "n")]
     got = K.pack(spark, docs_of(rows)).toPandas()
