@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,30 +18,38 @@ FOLDER = "pagewarden-scratch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one serves a local master (tests); a cluster,
+    whose executors would not see it, is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         folder = f"file://{tempfile.mkdtemp(prefix='pagewarden-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-_inside: list[str] = []
+_inside: ContextVar[str] = ContextVar("scratch folder", default="")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return "/".join([shared_folder(spark), FOLDER, *_inside[-1:], f"{name}-{uuid.uuid4().hex[:12]}"])
+    inside = _inside.get()
+    return "/".join([shared_folder(spark), FOLDER, *([inside] if inside else []), f"{name}-{uuid.uuid4().hex[:12]}"])
 
 
 @contextmanager
 def scratch_folder() -> Iterator[str]:
     """Scratch tables made inside go to one folder, whose name is given, so that they can be swept together."""
     name = f"job-{uuid.uuid4().hex[:12]}"
-    _inside.append(name)
+    before = _inside.set(name)
     try:
         yield name
     finally:
-        _inside.pop()
+        _inside.reset(before)
 
 
 def persist(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -5,9 +5,9 @@ aggregation whose state sits in RocksDB on the executors' disks, is checkpointed
 to the shared folder and never expires.  Per digest the state retains the row
 that stays: its stable identifier and its locator (partition and row in the
 narrow table).  After the stream the state is read back with Spark's state
-reader.  Digests that were hit more than once get a check of the full bytes: in
-a digest's group the least and the greatest normalised text must be the same
-string.  Groups that fail (a collision) are formed anew by their text.
+reader.  Hits get a check of the full bytes: in a digest's group the least and
+the greatest normalised text must be the same string.  Groups that fail (a
+collision) are formed anew by their text.
 
 Skew: the stream and the byte check both combine on the map side, so a group
 with a third of all rows is one row per task after the first step.
@@ -21,6 +21,17 @@ from pyspark.sql import functions as F
 from .common import BLANKS, persist, scratch_path, settings, text_of
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: All state stores of an executor share this much memory for blocks and write buffers; the rest is on its disk.
+STATE_MEMORY = {
+    "spark__sql__streaming__stateStore__providerClass": ROCKS,
+    "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
+    "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "128",
+    "spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB": "4",
+    # Without preallocated files a state of many small partitions takes the disk it needs.
+    "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
+    # Stores of a query that has ended are unloaded at the next round of maintenance.
+    "spark__sql__streaming__stateStore__maintenanceInterval": "10s",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -47,9 +58,7 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_batch: int) -
     checkpoint = scratch_path(spark, "dedup-state")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     keyed = state_of(stream)
-    # Without preallocated files a state of many small partitions takes the disk it needs.
-    small = {"spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false"}
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, **small):
+    with settings(spark, **STATE_MEMORY):
         query = (
             keyed.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
             .option("checkpointLocation", checkpoint).start()
@@ -67,14 +76,12 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_batch: int) -
         return persist(spark, state, "dedup-keys")
 
 
-def _collisions(spark: SparkSession, docs: DataFrame, text_col: str, state: DataFrame) -> DataFrame:
-    """Digests whose rows do not all have the same normalised bytes."""
+def _collisions(spark: SparkSession, docs: DataFrame, text_col: str) -> DataFrame:
+    """Digests whose rows do not all have the same normalised bytes: at most two texts of a digest leave a task."""
     text = normalised(text_of(text_col))
-    hits = state.where("group_size > 1").select("digest")
     rows = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("t"))
-    both = rows.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    with settings(spark, spark__sql__adaptive__forceOptimizeSkewedJoin="true"):
-        return persist(spark, both.where(F.col("a") != F.col("b")).select("digest"), "dedup-collisions")
+    both = rows.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    return persist(spark, both.where(F.col("a") != F.col("b")).select("digest"), "dedup-collisions")
 
 
 def exact_dedup(
@@ -93,7 +100,7 @@ def exact_dedup(
     if not path:
         return _result(narrow, state_of(narrow))
     state = stream_state(spark, path[0].rsplit("/", 1)[0], narrow.schema, files_per_batch)
-    wrong = _collisions(spark, docs, text_col, state)
+    wrong = _collisions(spark, docs, text_col)
     if wrong.isEmpty():
         return _result(narrow, state)
     # Colliding digests: key their rows by the text itself.
