@@ -9,6 +9,8 @@ last return the columns of ``docs``.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewarden.llm import common
@@ -18,16 +20,18 @@ from pagewarden.llm.language import keep_identified
 from pagewarden.llm.mixing import mix_documents
 from pagewarden.llm.packing import pack
 
-_previous: dict[str, str] = {}
+#: Scratch folders of the stages that ran, by thread and input, so that pipelines side by side keep theirs.
+_previous: dict[tuple[int, str, str], str] = {}
 
 
 def _stage(name: str, before: str | None, work):
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        mine = threading.get_ident(), sf_dir
         # The stage before has been written and read again: its scratch tables have served.
-        if before in _previous:
-            common.sweep(spark, _previous.pop(before))
+        if folder := _previous.pop((*mine, before or ""), None):
+            common.sweep(spark, folder)
         with common.scratch_folder() as folder:
-            _previous[name] = folder
+            _previous[(*mine, name)] = folder
             return work(spark, docs)
 
     stage.__name__ = name
