@@ -70,17 +70,16 @@ def registrable_by_suffix(df: DataFrame, column: str, suffixes: DataFrame, out:
     Each host meets its own few suffixes in an equi-join; a suffix table of any
     size may be used.  Hosts without a listed suffix, or that are one, give null.
     """
-    keyed = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__host", _host_name(F.col(column)))
+    hosts = df.select(_host_name(F.col(column)).alias("__host")).where("__host IS NOT NULL").distinct()
     labels = F.split("__host", r"\.")
     tails = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda k: F.struct(
         k.alias("at"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("suffix")))
-    wide = F.filter(tails, lambda t: F.size(labels) >= 2)
-    each = keyed.where("__host IS NOT NULL").select("__row", "__host", F.inline(wide)).join(suffixes.select("suffix").distinct(), "suffix")
-    best = each.groupBy("__row", "__host").agg(F.min("at").alias("at"))
-    parts = F.split("__host", r"\.")
-    name = F.array_join(F.slice(parts, F.col("at") - 1, F.size(parts)), ".")
-    best = best.select("__row", F.when(~name.isin(*BLOCKED_DOMAINS), name).alias(out))
-    return keyed.join(best, "__row", "left").drop("__row", "__host")
+    each = hosts.where(F.size(labels) >= 2).select("__host", F.inline(tails)).join(suffixes.select("suffix").distinct(), "suffix")
+    best = each.groupBy("__host").agg(F.min("at").alias("at"))
+    name = F.array_join(F.slice(labels, F.col("at") - 1, F.size(labels)), ".")
+    best = best.select(F.col("__host").alias("__own"), F.when(~name.isin(*BLOCKED_DOMAINS), name).alias(out))
+    # The answer depends on the host alone, so the host is the key.
+    return df.join(best, _host_name(F.col(column)) == F.col("__own"), "left").drop("__own")
 
 
 def same_host(host: Column, domain: Column) -> Column:

@@ -70,6 +70,32 @@ def first_match(text: Column, pattern: str, flags: str = FLAGS) -> Column:
     return F.regexp_substr(text, F.lit(flags + pattern))
 
 
+def running_starts(gaps: Column, sizes: Column) -> Column:
+    """Starts of parts of ``sizes``, each after its gap (arrays of one length).
+
+    Sums run over blocks of about the square root of the number of parts, then
+    over the blocks, so that a text with very many parts costs no square of them.
+    """
+    parts = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"))
+    width = F.greatest(F.ceil(F.sqrt(F.size(sizes))).cast("int"), F.lit(1))
+    none = F.array().cast("array<int>")
+
+    def step(acc: Column, x: Column) -> Column:
+        here = acc["at"] + x["gap"]
+        return F.struct((here + x["size"]).alias("at"), F.concat(acc["all"], F.array(here)).alias("all"))
+
+    def whole(parts: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), width),
+            lambda i: F.aggregate(F.slice(parts, i + 1, width), F.struct(F.lit(0).alias("at"), none.alias("all")), step))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
+        add = lambda acc, b: F.struct(
+            (acc["at"] + b["at"]).alias("at"), F.concat(acc["all"], F.array(F.transform(b["all"], lambda x: x + acc["at"]))).alias("all"))
+        return F.flatten(F.aggregate(blocks, start, add, lambda acc: acc["all"]))
+
+    return whole(parts)
+
+
 def foreign_script(text: Column) -> Column:
     """Whether Kana, CJK, Cyrillic, Thai or Hangul occurs."""
     return text.rlike(FOREIGN)
@@ -89,6 +115,7 @@ def json_inside(text: Column, schema: str) -> Column:
 
 def obfuscation_parts(text: Column) -> Column:
     """Names of the obfuscation marks found, in fixed order."""
+    # The marks.
     marks = [
         ("eval-decoder", FLAGS + r"eval\(\s*(atob|unescape|decodeURIComponent|String\.fromCharCode)"),
         ("hexrun", r"(\\x[0-9a-fA-F]{2}){12,}"),
@@ -105,6 +132,7 @@ def obfuscation_score(parts: Column) -> Column:
 
 def gibberish(segment: Column) -> Column:
     """Longer than 9, under 22 % vowels, and six consonants in a row."""
+    # Vowels, the share of them, and the run of consonants.
     vowels = F.regexp_count(segment, F.lit("[aeiou]"))
     return (F.length(segment) > 9) & (vowels / F.length(segment) < 0.22) & segment.rlike("[bcdfghjklmnpqrstvwxz]{6,}")
 

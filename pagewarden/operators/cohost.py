@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import bd_score, cdn_address, provider, registrable
@@ -39,6 +39,18 @@ def neighbours(ips: DataFrame, rdns: DataFrame, exclude: DataFrame | None = None
     return found.withColumn("bd_score", bd_score(F.col("domain"), ip_bd=True))
 
 
+def seed_domains(domains: DataFrame, least: int = 25, limit: int = 25, offset: int = 0) -> DataFrame:
+    """Seeds of a neighbour search: domains (row_id, domain, bd_score) of enough score by row_id; past the end, from the start."""
+    rows = domains.where(F.col("bd_score") >= least).select("row_id", "domain")
+    page = rows.orderBy("row_id").offset(max(offset, 0)).limit(limit)
+    return page if offset <= 0 or not page.isEmpty() else rows.orderBy("row_id").limit(limit)
+
+
+def edge_score(domain) -> Column:
+    """The plain score of neighbours found at the edge: 50 for ``.bd``, 30 for others."""
+    return F.when(domain.endswith(".bd"), 50).otherwise(30)
+
+
 def hotspot_summary(lead_ips: DataFrame, rdns: DataFrame) -> DataFrame:
     """Per address: known leads, hosts on it, and hosts that are new neighbours."""
     known = lead_ips.select("domain").distinct().withColumn("__lead", F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import FLAGS
+from ..functions.text import FLAGS, running_starts
 
 # What opens an address, and addresses that belong to tools.
 ADDRESS_WORD = r"(house|holding|plot|flat|road|block|sector|level|floor|suite|lane|avenue|tower|bhaban|bhavan|plaza|complex|রোড|সড়ক|বাড়ি|ব্লক|সেক্টর)"
@@ -39,14 +39,8 @@ def windows(text: Column, before: int = 45, after: int = 155, most_words: int |
     gaps = F.split(text, FLAGS + ADDRESS_WORD, most_words + 1 if most_words else -1)
     words = F.regexp_extract_all(text, F.lit(FLAGS + ADDRESS_WORD), F.lit(0))
     words = F.slice(words, 1, most_words) if most_words else words
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(words)).alias("g"), words.alias("w"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + F.length(x["g"])
-        return F.struct((here + F.length(x["w"])).alias("at"), F.concat(acc["all"], F.array(here)).alias("all"))
-
-    places = F.aggregate(steps, start, step, lambda acc: acc["all"])
+    gap = F.transform(F.slice(gaps, 1, F.size(words)), lambda g: F.length(g))
+    places = running_starts(gap, F.transform(words, lambda w: F.length(w)))
     return F.transform(places, lambda p: F.substring(text, F.greatest(p - before, F.lit(0)) + 1, after + F.least(p, F.lit(before))))
 
 

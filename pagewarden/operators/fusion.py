@@ -67,7 +67,10 @@ def _signal_category(rows: DataFrame) -> DataFrame:
 
 def _evidence(rows: DataFrame, most: int) -> DataFrame:
     """The first ``most`` distinct non-empty addresses with what was found there."""
-    first = rows.where("url != ''").groupBy("domain", "url").agg(F.min_by(F.struct("ord", "layer", "match"), "ord").alias("s"))
+    first = rows.where("url != ''").groupBy("domain", "url").agg(F.min(F.struct("ord", "layer", "match")).alias("s"))
+    # Only the first ``most`` of a domain leave a task.
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("s", "url"))
+    first = first.withColumn("place", place).where(F.col("place") <= most)
     item = F.struct(F.col("s.ord").alias("ord"), F.col("s.layer").alias("layer"), F.substring("url", 1, 300).alias("url"),
                     F.substring("s.match", 1, 160).alias("match"))
     ordered = F.slice(F.array_sort(F.collect_list(item)), 1, most)

@@ -44,7 +44,8 @@ PAGE_URL = r'https?://[^<\s"]+'
 def homepages(captures: DataFrame) -> DataFrame:
     """One row per domain: text and address of each home variant; missing variants are empty.  Unreachable domains go."""
     rows = captures.where(F.col("variant").isin(*HOME_VARIANTS)).withColumn("domain", F.lower(F.trim("domain")))
-    pick = lambda v, c: F.first(F.when(F.col("variant") == v, F.col(c)), ignorenulls=True)
+    # Where a variant was captured more than once, the first capture that has the value counts; ties go by the value.
+    pick = lambda v, c: F.min_by(F.col(c), F.when((F.col("variant") == v) & F.col(c).isNotNull(), F.struct("seq", "status", "final_url", "text")))
     cols = []
     for v in HOME_VARIANTS:
         cols += [F.coalesce(pick(v, "text"), F.lit("")).alias(v), F.coalesce(pick(v, "final_url"), F.lit("")).alias(f"{v}_url")]
@@ -134,29 +135,35 @@ def page_signals(home: DataFrame, strong: str = P.ALL_STRONG, weak: str = P.ALL_
         "domain", "reg", "http_status", "title", "visible_browser", "found", "header", (F.size("found") > 0).alias("fired"))
 
 
-POST = "array<struct<slug:string,title:string,link:string,date:string>>"
-POST_RENDERED = "array<struct<slug:string,title:struct<rendered:string>,link:string,date:string>>"
-
-
 def wp_items(captures: DataFrame) -> DataFrame:
     """Posts and pages from captured REST replies: (domain, type, page, pos, slug, title, link).
 
-    A title may be an object with ``rendered`` or a plain string.  Pages count up
-    to the first one that is no JSON array of items.
+    A title may be an object with ``rendered`` or a plain string.  Elements that
+    are no objects are passed over.  Pages count up to the first one that is no
+    JSON array or names no slug.
     """
     rows = captures.where(F.col("variant").isin("wp_posts", "wp_pages"))
     kind = F.when(F.col("variant") == "wp_posts", "posts").otherwise("pages")
-    rows = rows.select(F.lower(F.trim("domain")).alias("domain"), kind.alias("type"), F.col("seq").alias("page"), "text")
-    good = json_objects(F.col("text"), POST).isNotNull() & F.col("text").contains('"slug"')
+    items = json_objects(F.col("text"), "array<string>")
+    rows = rows.select(F.lower(F.trim("domain")).alias("domain"), kind.alias("type"), F.col("seq").alias("page"), "text", items.alias("items"))
+    good = F.col("items").isNotNull() & F.coalesce(F.col("text").contains('"slug"'), F.lit(False))
     upto = Window.partitionBy("domain", "type").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("good", good).withColumn("open", F.min(F.col("good")).over(upto)).where("open")
     rows = rows.where((F.col("type") == "posts") & (F.col("page") <= 5) | (F.col("page") <= 1))
-    both = F.arrays_zip(json_objects(F.col("text"), POST).alias("plain"), json_objects(F.col("text"), POST_RENDERED).alias("rich"))
-    rows = rows.select("domain", "type", "page", F.posexplode(both).alias("pos", "item"))
-    title = F.coalesce("item.rich.title.rendered", "item.plain.title", F.lit(""))
+    rows = rows.select("domain", "type", "page", F.posexplode("items").alias("pos", "item")).where(F.col("item").startswith("{"))
+    part = lambda path: F.get_json_object("item", path)
+    rich = F.coalesce(part("$.title"), F.lit("")).startswith("{")
+    title = F.coalesce(F.when(rich, part("$.title.rendered")).otherwise(part("$.title")), F.lit(""))
     return rows.select(
-        "domain", "type", "page", "pos", F.trim(F.coalesce("item.plain.slug", F.lit(""))).alias("slug"),
-        collapse(html_unescape(title)).alias("title"), F.trim(F.coalesce("item.plain.link", F.lit(""))).alias("link"))
+        "domain", "type", "page", "pos", F.trim(F.coalesce(part("$.slug"), F.lit(""))).alias("slug"),
+        collapse(html_unescape(title)).alias("title"), F.trim(F.coalesce(part("$.link"), F.lit(""))).alias("link"))
+
+
+def _first(rows: DataFrame, n: int, order: str, *columns: str) -> DataFrame:
+    """The first ``n`` rows of each domain as a sorted array ``first``; only those leave a task."""
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(order, *columns))
+    rows = rows.withColumn("place", place).where(F.col("place") <= n)
+    return rows.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("place", *columns))).alias("first"))
 
 
 def enumeration_signals(items: DataFrame, totals: DataFrame, strong: str = P.ALL_STRONG, slug_spam: str = P.RX_SLUG_SPAM) -> DataFrame:
@@ -173,10 +180,11 @@ def enumeration_signals(items: DataFrame, totals: DataFrame, strong: str = P.ALL
         F.substring("link", 1, 130).alias("url"))
     listing = F.concat(F.lit("https://"), F.col("domain"), F.lit("/wp-json/wp/v2/posts"))
     other = foreign_script(F.col("title"))
-    samples = F.slice(F.array_sort(F.collect_list(F.when(other, F.struct("at", F.substring("title", 1, 40).alias("t"))))), 1, 3)
-    counts = rows.groupBy("domain").agg(F.count_if(other).alias("foreign"), F.count(F.lit(1)).alias("total"), samples.alias("s"))
+    counts = rows.groupBy("domain").agg(F.count_if(other).alias("foreign"), F.count(F.lit(1)).alias("total"))
     counts = counts.where("foreign >= 4 AND foreign * 100 < total * 30")
-    shown = F.array_join(F.transform("s", lambda x: x["t"]), " | ")
+    samples = _first(rows.where(other).select("domain", "at", F.substring("title", 1, 40).alias("t")), 3, "at", "t")
+    counts = counts.join(samples, "domain")
+    shown = F.array_join(F.transform("first", lambda x: x["t"]), " | ")
     script = counts.select(
         "domain", F.lit(300_000).alias("ord"), F.lit("content-enum").alias("bucket"), F.lit("L20SCRIPT").alias("layer"),
         F.concat(F.format_string("foreign=%d/%d:", "foreign", "total"), shown).alias("match"), listing.alias("url"))
@@ -208,12 +216,10 @@ def sitemap_signals(locations: DataFrame, slug_spam: str = P.RX_SLUG_SPAM) -> Da
     """L11SITEMAP (first three spam addresses) and L20SHAPE (the densest directory of random names); ``ord`` from 400000."""
     mine = locations.where(F.col("url").contains(F.col("reg")))
     spam = mine.where(~F.col("listed") & ~F.lower("url").endswith(".xml") & F.col("url").rlike(FLAGS + slug_spam))
-    # Only the first three by position are kept of any number, combined on the map side.
-    first = spam.groupBy("domain").agg(F.min_by("url", "pos").alias("lead"), F.slice(
-        F.array_sort(F.collect_list(F.struct("pos", "url"))), 1, 3).alias("u"))
-    doorway = first.select(
+    doorway = _first(spam, 3, "pos", "url").select(
         "domain", F.lit(400_000).alias("ord"), F.lit("sitemap-doorway").alias("bucket"), F.lit("L11SITEMAP").alias("layer"),
-        F.substring(F.array_join(F.transform("u", lambda x: x["url"]), ";"), 1, 200).alias("match"), F.col("lead").alias("url"))
+        F.substring(F.array_join(F.transform("first", lambda x: x["url"]), ";"), 1, 200).alias("match"),
+        F.get("first", F.lit(0))["url"].alias("url"))
     has = locations.groupBy("domain").agg(F.max("listed").alias("has"))
     shaped = mine.join(has, "domain").where(F.col("listed") == F.col("has")).where(~F.col("url").rlike(FLAGS + SHAPE_SKIP))
     shaped = shaped.withColumn("path", url_path(F.col("url")))

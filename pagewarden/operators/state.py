@@ -129,6 +129,11 @@ def recount(counters: DataFrame, metric: str, rows: DataFrame) -> DataFrame:
     return out.withColumn("value", F.when(F.col("metric") == metric, F.col("__n")).otherwise(F.col("value"))).drop("__n")
 
 
+def add_to_counter(counters: DataFrame, metric: str, amount: int) -> DataFrame:
+    """``amount`` more for ``metric``; a metric that was never seeded stays absent."""
+    return counters.withColumn("value", F.when(F.col("metric") == metric, F.col("value") + amount).otherwise(F.col("value")))
+
+
 def ingest_rollup(findings: DataFrame, categories, scanned: int = 0, errors: int = 0) -> DataFrame:
     """One row of counts for a batch of findings: flagged, confirmed, and confirmed by category."""
     conf = F.col("confirmed") == 1

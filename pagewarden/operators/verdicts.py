@@ -73,6 +73,13 @@ def decide(scored: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     )
 
 
+def batch_sums(findings: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Per batch: scanned, flagged, confirmed and errors, from ``findings`` (batch_id, confirmed) and ``scanned`` (batch_id, domain, error)."""
+    done = scanned.groupBy("batch_id").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("error")).alias("errors"))
+    found = findings.groupBy("batch_id").agg(F.count(F.lit(1)).alias("flagged"), F.count_if(F.col("confirmed") == 1).alias("confirmed"))
+    return done.join(found, "batch_id", "left").na.fill(0, ["flagged", "confirmed"]).select("batch_id", "scanned", "flagged", "confirmed", "errors")
+
+
 def recheck(findings: DataFrame, captures: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Keep-or-reject decision for confirmed findings against fresh captures (domain, text) and verdicts.
 

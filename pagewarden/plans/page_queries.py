@@ -173,7 +173,7 @@ def obfuscation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("contact_extract", r"""
-    SELECT doc_id, coalesce(regexp_replace(nullif(regexp_extract(substr(text, 1, 60000), '(?:\+?880[\s-]?|0)1[3-9]\d{8}'), ''), '[\s-]', '', 'g'), '') AS phone,
+    SELECT doc_id, coalesce(regexp_replace(nullif(regexp_extract(text, '(?:\+?880[\s-]?|0)1[3-9]\d{8}'), ''), '[\s-]', '', 'g'), '') AS phone,
            CASE WHEN regexp_matches(e, '(example|sentry|wixpress|godaddy|\.png|\.jpg|domain\.com|email\.com|yourdomain|wordpress)') THEN '' ELSE e END AS email
     FROM (SELECT *, lower(regexp_extract(coalesce(text, ''), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) AS e FROM documents)""")
 def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

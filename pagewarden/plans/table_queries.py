@@ -214,10 +214,10 @@ def cohost_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("domain").agg(F.countDistinct("ip").alias("ips"))
 
 
-@query("hotspot_ranking", f"""
-    SELECT l_suppkey AS ip, count(DISTINCT l_partkey) AS leads FROM lineitem WHERE {LEADS} GROUP BY 1 ORDER BY leads DESC, ip LIMIT 20""")
+@query("hotspot_ranking", """
+    SELECT l_suppkey AS ip, count(DISTINCT l_partkey) AS leads FROM lineitem GROUP BY 1 ORDER BY leads DESC, ip LIMIT 20""")
 def hotspot_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where(LEADS)
+    items = table(spark, sf_dir, "lineitem")
     return cohost.hotspots(items.select(F.col("l_suppkey").alias("ip"), F.col("l_partkey").alias("domain")), n=20)
 
 

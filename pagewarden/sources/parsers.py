@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,7 @@ from ..functions.domains import bd_score, blocked_host, clean_host, normalize_do
 from ..functions.text import DOTALL, FLAGS, collapse, html_unescape
 from ..operators.state import first_wins
 
+# Patterns of what the sources hold.
 LOC = FLAGS + r"<loc>\s*([^<\s]+)\s*</loc>"
 HOST_IN_HTML = FLAGS + r">\s*([a-z0-9][a-z0-9\-]*(?:\.[a-z0-9\-]+)+\.[a-z]{2,})\s*<"
 JSONLD_URL = FLAGS + r'"url"\s*:\s*"([^"]+)"'
@@ -20,6 +21,7 @@ WEB_FIELD = FLAGS + (
 HREF = FLAGS + r"<a\b[^>]*\bhref\s*=\s*['\"]([^'\"]+)['\"]"
 JSONLD_NAME = FLAGS + r'"name"\s*:\s*"([^"]+)"'
 OG_TITLE = FLAGS + r"<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']+)[\"']"
+PLAIN_URL = FLAGS + r"https?://[a-z0-9.\-]+\.[a-z]{2,}[^\s'\"<>,)]*"
 ANY_HOST = FLAGS + r"\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}\b"
 
 
@@ -42,27 +44,29 @@ def union_sources(parts: list[DataFrame], key: str = "domain") -> DataFrame:
     return first_wins(ranked, [key], ["__rank", "__in"]).drop("__rank", "__in")
 
 
-def certificate_names(rows: DataFrame, common_name: bool = True, most: int | None = None) -> DataFrame:
-    """Registrable domains in certificate rows (name_value with one name a line, common_name)."""
+def certificate_names(rows: DataFrame, common_name: bool = True, most: int | None = None, suffix: str | None = None) -> DataFrame:
+    """Registrable domains in certificate rows (name_value with one name a line, common_name), of one ``suffix`` if given."""
     names = F.split(F.coalesce("name_value", F.lit("")), r"\r?\n")
     if common_name:
         names = F.concat(names, F.array(F.coalesce("common_name", F.lit(""))))
     out = rows.select(F.explode(names).alias("n")).select(registrable(F.col("n")).alias("domain")).where("domain IS NOT NULL").distinct()
+    out = out.where(F.col("domain").endswith(suffix)) if suffix else out
     out = out.withColumn("bd_score", bd_score(F.col("domain"), source_bd=True))
     return out if most is None else out.orderBy("domain").limit(most)
 
 
-def crawl_index_lines(lines: DataFrame, most: int = 700, suffix: str | None = None) -> DataFrame:
+def crawl_index_lines(lines: DataFrame, most: int | None = 700, suffix: str | None = None) -> DataFrame:
     """Registrable domains of the ``url`` in JSON lines (column value); lines that are no JSON go.  First ``most`` by name."""
     url = F.get_json_object("value", "$.url")
     rows = lines.select(registrable(clean_host(url)).alias("domain")).where("domain IS NOT NULL").distinct()
     rows = rows.where(F.col("domain").endswith(suffix)) if suffix else rows
-    return rows.orderBy("domain").limit(most)
+    return rows if most is None else rows.orderBy("domain").limit(most)
 
 
-def sitemap_urls(pages: DataFrame, text: str = "text", most_chars: int = 16 << 20) -> DataFrame:
-    """Adds ``loc``: one row for each address of a sitemap."""
-    locs = F.regexp_extract_all(F.substring(text, 1, most_chars), F.lit(LOC), F.lit(1))
+def sitemap_urls(pages: DataFrame, text: str = "text", most_chars: int | None = None) -> DataFrame:
+    """Adds ``loc``: one row for each address of a sitemap; ``most_chars`` limits what is read of one."""
+    body = F.substring(text, 1, most_chars) if most_chars else F.col(text)
+    locs = F.regexp_extract_all(body, F.lit(LOC), F.lit(1))
     rows = pages.select(*[c for c in pages.columns if c != text], F.posexplode(locs).alias("pos", "loc"))
     return rows.withColumn("loc", F.trim(html_unescape(F.col("loc")))).where("loc != ''")
 
@@ -89,10 +93,15 @@ def business_name(text: Column) -> Column:
     return F.substring(F.coalesce(found(JSONLD_NAME), found(OG_TITLE), title, F.lit("")), 1, 200)
 
 
-def website_of(text: Column, apex: Column, most_links: int = 400) -> Column:
-    """The first acceptable registrable domain: JSON-LD addresses, then labelled fields, then links."""
-    every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
-    found = F.concat(every(JSONLD_URL), every(WEB_FIELD), F.slice(every(HREF), 1, most_links))
+def website_of(text: Column, apex: Column, most_links: int | None = 400, plain: bool = False) -> Column:
+    """The first acceptable registrable domain: JSON-LD addresses, then labelled fields, then links.
+
+    ``plain`` adds addresses that stand in the text without a link, after all
+    others.  ``most_links`` limits links and such addresses; None sets no limit.
+    """
+    every = lambda p, group=1: F.regexp_extract_all(text, F.lit(p), F.lit(group))
+    some = lambda found: F.slice(found, 1, most_links) if most_links else found
+    found = F.concat(every(JSONLD_URL), every(WEB_FIELD), some(every(HREF)), *([some(every(PLAIN_URL, 0))] if plain else []))
     raw = F.transform(found, lambda u: F.trim(F.replace(u, F.lit("&amp;"), F.lit("&"))))
     good = F.filter(raw, lambda u: (u != "") & ~u.rlike(r"^(#|mailto:|tel:|javascript:)"))
 
@@ -104,13 +113,32 @@ def website_of(text: Column, apex: Column, most_links: int = 400) -> Column:
     return F.get(F.array_compact(F.transform(good, accept)), F.lit(0))
 
 
-def listing_rows(pages: DataFrame, apex: str) -> DataFrame:
+def listing_rows(pages: DataFrame, apex: str, plain: bool = False) -> DataFrame:
     """(domain, business, bd_score) from directory pages (url, text); the first page of a domain wins."""
-    rows = pages.select("url", website_of(F.col("text"), F.lit(apex)).alias("domain"), business_name(F.col("text")).alias("business"))
+    rows = pages.select("url", website_of(F.col("text"), F.lit(apex), plain=plain).alias("domain"), business_name(F.col("text")).alias("business"))
     rows = first_wins(rows, ["domain"], ["url"])
     return rows.withColumn("bd_score", bd_score(F.col("domain"), source_bd=True))
 
 
+def listing_slices(listings: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(source, url): the pages to read in this run, by a budget and a rotating start for each source.
+
+    ``listings``: source, pos, url; ``sources``: source, place, budget, start.  Of
+    equal addresses the first counts.  Sources take from the total ``most`` in the
+    order of ``place``; a slice that runs over the end wraps round.
+    """
+    once = first_wins(listings, ["source", "url"], ["pos"])
+    order = Window.partitionBy("source").orderBy("pos")
+    once = once.withColumn("at", F.row_number().over(order) - 1)
+    size = once.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    plan = sources.join(size, "source")  # a row for each source
+    want = F.least("budget", "n")
+    before = F.coalesce(F.sum(want).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = plan.withColumn("take", F.greatest(F.lit(0), F.least(want, F.lit(most) - before)))
+    rows = once.join(plan.select("source", "n", "take", "start"), "source")
+    return rows.where(F.pmod(F.col("at") - F.col("start"), F.col("n")) < F.col("take")).select("source", "url")
+
+
 def map_elements(elements: DataFrame, most: int = 20_000) -> DataFrame:
     """(domain, business) from map elements (ord, tags): website or contact:website; the first name wins."""
     tag = lambda k: F.nullif(F.col("tags")[k], F.lit(""))
@@ -171,6 +199,26 @@ def robots_sitemaps(captures: DataFrame, most: int = 3) -> DataFrame:
     return rows.select("domain", reg.alias("reg"), F.posexplode(some).alias("pos", "url")).where(F.col("url").contains(F.col("reg"))).drop("reg")
 
 
+def sitemap_walk(captures: DataFrame, most_maps: int = 3, most_children: int = 6) -> DataFrame:
+    """(domain, seq, url): the sitemaps a site's walk reads, in order, from its captured ``robots`` and ``sitemap`` rows.
+
+    A sitemap is followed by the ``.xml`` addresses it names, sorted, at most
+    ``most_children`` in a map; of a site no more than that many are read in all.
+    Two levels only; addresses outside the site go.
+    """
+    named = robots_sitemaps(captures, most_maps)
+    maps = captures.where("variant = 'sitemap'").select("domain", F.col("final_url").alias("url"), "text")
+    roots = named.join(maps, ["domain", "url"]).where("text != ''")
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(FLAGS + r'https?://[^<\s"]+\.xml'), F.lit(0))))
+    kids = roots.select("domain", "pos", F.posexplode(F.slice(found, 1, most_children)).alias("k", "url"))
+    kids = kids.where(F.col("url").contains(F.regexp_replace("domain", r"^www\.", "")))
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("pos", "k"))
+    kids = kids.withColumn("n", place).where(F.col("n") <= most_children)
+    both = roots.select("domain", "pos", F.lit(-1).alias("k"), "url").unionByName(kids.select("domain", "pos", "k", "url"))
+    seq = F.row_number().over(Window.partitionBy("domain").orderBy("pos", "k")) - 1
+    return both.select("domain", seq.alias("seq"), "url")
+
+
 def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """Parquet, JSON lines, CSV (header, quoted) or text; a schema spares the pass that infers one."""
     reader = spark.read.schema(schema) if schema else spark.read

@@ -78,3 +78,16 @@ def test_contacts_of_whole_texts(spark, tmp_path):
     far = spark.createDataFrame([(1, "", "road " + "x" * 200 + (" road" + " y" * 90) * 250 + " House 5, Dhanmondi")], "id long, h string, t string")
     assert extract_contacts(far, "id", "h", "t").first()["area"] == "Dhanmondi"
     assert extract_contacts(far, "id", "h", "t", MOST_TEXT, MOST_WORDS).first()["area"] == ""
+
+
+def test_running_starts(spark):
+    from pagewarden.functions.text import running_starts
+
+    rows = [([], []), ([3], [2]), (list(range(50)), [k % 4 for k in range(50)])]
+    got = [r[0] for r in spark.createDataFrame(rows, "g array<int>, s array<int>").select(running_starts(F.col("g"), F.col("s"))).collect()]
+    for (gaps, sizes), starts in zip(rows, got):
+        at, want = 0, []
+        for g, n in zip(gaps, sizes):
+            want.append(at + g)
+            at += g + n
+        assert starts == want

@@ -92,3 +92,17 @@ def test_audit_end_to_end(spark):
     reviewed = {r["domain"]: r for r in audit(captures, reviewed=verdicts).collect()}
     assert reviewed["cloak.example.org"]["status"] == "lead" and reviewed["cloak.example.org"]["biz_type"] == "it"
     assert "deface.example.org" not in reviewed and "frame.example.org" in reviewed
+
+
+def test_elements_that_are_no_objects_are_passed_over(spark):
+    rows = page("x.example.org", "hi") + [
+        ("x.example.org", "wp_posts", 1, 200, "u", None, '[7,"text",null,{"slug":"a","title":{"rendered":"t &amp; u"}}]'),
+        ("x.example.org", "wp_posts", 2, 200, "u", None, '[{"slug":"b","title":"plain"}]'), ("x.example.org", "wp_pages", 1, 200, "u", None, "[broken \"slug\"")]
+    got = signals.wp_items(spark.createDataFrame(rows, SCHEMA)).orderBy("page").collect()
+    assert [(r["page"], r["pos"], r["slug"], r["title"]) for r in got] == [(1, 3, "a", "t & u"), (2, 0, "b", "plain")]
+
+
+def test_the_first_capture_of_a_variant_counts(spark):
+    rows = [("x.org", "browser", 1, 200, "b", None, "second"), ("x.org", "browser", 0, 200, "a", None, "first")]
+    for parts in (1, 2):
+        assert signals.homepages(spark.createDataFrame(rows, SCHEMA).repartition(parts)).first()["browser"] == "first"
