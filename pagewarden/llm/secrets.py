@@ -5,22 +5,32 @@ one, as padding, so the name and the value of NAME=value are two.  The encoding
 is inferred from the characters used (hex, base32, base36, base64); runs without
 a digit, or of one case with one of "+/_-", have none.  Three tests ask
 whether the run can be random in that alphabet: chi-squared uniformity, runs
-above and below the middle of the alphabet, and serial correlation at lag 1.  A
-run that no test rejects gets a p-value under the opposite hypothesis, ordinary
-writing in that alphabet, from the number of coinciding pairs of characters; its
-spread depends on the length, so short runs cannot reach small values.  Within
-each class of lengths the Benjamini-Hochberg rule at ``rate`` sets the limit
-over all runs of the corpus, from a histogram of p-values.
+above and below the middle of the alphabet, and serial correlation at lag 1.
+Their p-values are combined (Cauchy combination, which holds for dependent
+tests), and within each class of lengths the Benjamini-Hochberg rule at
+``reject`` says which runs are not random, over all runs of the corpus.
+
+The others have not been told from random, which short runs hardly can be.  Each
+gets a p-value under the opposite hypothesis, ordinary writing in that alphabet,
+from the number of coinciding pairs of characters; its spread depends on the
+length, so short runs cannot reach small values.  Within each class of lengths
+the same rule at ``rate`` sets the limit from which a run is reported.  Both
+limits come from histograms of p-values.
 
 Positions count code points; ends are exclusive.  Empty and null texts have no
-spans.  Spans of different kinds may overlap.
+spans.  Spans of different kinds may overlap.  Rows that repeat, or share or lack
+an id, are scanned each for itself; their runs count for the limits as often as
+they occur.  Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import running_starts
 from .common import persist, text_of
 
 # The patterns of the three base kinds and how long a match must be.
@@ -54,18 +64,10 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    steps = F.arrays_zip(gaps.alias("gap"), matches.alias("whole"), parts.alias("part"))
-    none = F.array().cast("array<struct<start:int,end:int,part:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["whole"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
-
-    spans = F.aggregate(steps, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    starts = running_starts(F.transform(gaps, lambda g: F.length(g)), F.transform(matches, lambda m: F.length(m)))
+    steps = F.arrays_zip(starts.alias("start"), matches.alias("whole"), parts.alias("part"))
+    spans = F.transform(steps, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["whole"])).alias("end"), x["part"].alias("part")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,part:string>>"))
 
 
 def _listed(kind: int, spans: Column) -> Column:
@@ -94,7 +96,7 @@ def normal_above(z: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds encoding, n, p_chi, p_runs, p_serial and p_ordinary to rows with ``part``; rows without encoding go."""
+    """Adds encoding, n, p_chi, p_runs, p_serial, p_random and p_ordinary to rows with ``part``; rows without encoding go."""
     core = F.rtrim(F.translate("part", "=", " "))  # padding goes
     rows = tokens.withColumn("core", core)
     pick = lambda values: F.coalesce(*[F.when(F.col("core").rlike(p), F.lit(v)) for (_, p, _, _), v in zip(ENCODINGS, values)])
@@ -105,7 +107,6 @@ def battery(tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("m", F.length("alphabet").cast("double"))
     counts = F.transform(F.split("alphabet", ""), lambda c: (F.length("core") - F.length(F.replace(F.col("core"), c, F.lit("")))).cast("double"))
     rows = rows.withColumn("squares", F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("cubes", F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x * x))
     n, m = F.col("n"), F.col("m")
     place = F.transform(F.split("core", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double") - (F.col("m") + 1) / 2)
     rows = rows.withColumn("x", place)
@@ -130,42 +131,57 @@ def battery(tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("power", power).withColumn("lagged", lagged)
     serial = F.when(F.col("power") > 0, 2 * normal_above(F.abs(F.col("lagged") / F.col("power") * F.sqrt(n)))).otherwise(0.0)
     rows = rows.withColumn("p_serial", serial)
+    # All three as one, by the Cauchy combination; p-values near one are cut at 0.99, as one of them would outweigh all others.
+    turned = sum(F.tan((0.5 - F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(0.99))) * math.pi) for p in ("p_chi", "p_runs", "p_serial"))
+    # For large sums the arc tangent has no digits left; its tail is the reciprocal.
+    mean_turned = turned / 3
+    rows = rows.withColumn("p_random", F.when(mean_turned > 1e6, 1 / (mean_turned * math.pi)).otherwise(0.5 - F.atan(mean_turned) / math.pi))
     # Ordinary writing: coinciding pairs, with the spread of a sum over pairs.
     kappa, all_pairs = F.col("kappa"), n * (n - 1) / 2
     shared = (F.col("squares") - n) / 2
     triple = F.greatest(F.lit(0.0), kappa * F.sqrt(kappa) * F.lit(0.9) - kappa * kappa)
     spread = F.sqrt(all_pairs * kappa * (1 - kappa) + n * (n - 1) * (n - 2) * triple * 0.25)
     rows = rows.withColumn("p_ordinary", 1 - normal_above((shared - kappa * all_pairs) / spread))
-    return rows.drop("core", "alphabet", "kappa", "m", "squares", "cubes", "x", "pairs", "runs", "above", "mean", "power", "lagged")
+    return rows.drop("core", "alphabet", "kappa", "m", "squares", "x", "pairs", "runs", "above", "mean", "power", "lagged")
 
 
-def discoveries(spark: SparkSession, tokens: DataFrame, rate: float, reject: float) -> DataFrame:
-    """The tokens that pass the battery and the false-discovery limit of their class of lengths."""
-    tested = battery(tokens)
-    tested = tested.withColumn("random", F.least("p_chi", "p_runs", "p_serial") >= reject)
-    p = F.greatest("p_ordinary", F.lit(1e-90))
-    level = F.least(F.floor(-F.log10(p) * BINS_PER_DECADE), F.lit(MOST_BINS)).cast("int")
-    tested = tested.withColumn("level", F.greatest(level, F.lit(0))).withColumn("class", F.floor(F.log2("n")).cast("int"))
-    tested = persist(spark, tested, "secrets-tested")
-    bins = tested.groupBy("class", "level").agg(
-        F.count(F.lit(1)).alias("tests"), F.count(F.when(F.col("random"), 1)).alias("passed"))
+def _level(p: Column) -> Column:
+    """The histogram bin of a p-value: steps of a twentieth of a power of ten."""
+    level = F.floor(-F.log10(F.greatest(p, F.lit(1e-90))) * BINS_PER_DECADE)
+    return F.greatest(F.least(level, F.lit(MOST_BINS)), F.lit(0)).cast("int")
+
+
+def _limits(tested: DataFrame, level: str, eligible: Column, rate: float) -> DataFrame:
+    """(class, limit): by the Benjamini-Hochberg rule, the least bin from which ``eligible`` rows are discoveries."""
+    bins = tested.groupBy("class", F.col(level).alias("bin")).agg(
+        F.count(F.lit(1)).alias("tests"), F.count(F.when(eligible, 1)).alias("passed"))
     whole = Window.partitionBy("class")
-    down = whole.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = whole.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumn("m", F.sum("tests").over(whole)).withColumn("k", F.sum("passed").over(down))
-    worst = F.pow(F.lit(10.0), -F.col("level") / F.lit(float(BINS_PER_DECADE)))
-    limits = bins.where(worst * F.col("m") <= rate * F.col("k")).groupBy("class").agg(F.min("level").alias("limit"))
+    worst = F.pow(F.lit(10.0), -F.col("bin") / F.lit(float(BINS_PER_DECADE)))
+    return bins.where(worst * F.col("m") <= rate * F.col("k")).groupBy("class").agg(F.min("bin").alias("limit"))
+
+
+def discoveries(spark: SparkSession, tokens: DataFrame, rate: float, reject: float) -> DataFrame:
+    """The tokens that are not told from random and lie beyond the false-discovery limit of their class of lengths."""
+    tested = battery(tokens).withColumn("class", F.floor(F.log2("n")).cast("int"))
+    tested = tested.withColumn("away", _level(F.col("p_random"))).withColumn("level", _level(F.col("p_ordinary")))
+    tested = persist(spark, tested, "secrets-tested")
     # One row for each power of two among the lengths: a few dozen at any size.
-    kept = tested.join(F.broadcast(limits), "class").where(F.col("random") & (F.col("level") >= F.col("limit")))
-    return kept.select("row", "start", "end", "encoding", "p_chi", "p_runs", "p_serial", "p_ordinary")
+    ordered = F.broadcast(_limits(tested, "away", F.lit(True), reject).withColumnRenamed("limit", "ordered"))
+    tested = tested.join(ordered, "class", "left").withColumn("random", F.col("ordered").isNull() | (F.col("away") < F.col("ordered")))
+    found = F.broadcast(_limits(tested, "level", F.col("random"), rate))
+    kept = tested.join(found, "class").where(F.col("random") & (F.col("level") >= F.col("limit")))
+    return kept.select("row", "start", "end", "encoding", "p_chi", "p_runs", "p_serial", "p_random", "p_ordinary")
 
 
 def scan_secrets(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05, reject: float = 0.001
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05, reject: float = 0.01
 ) -> DataFrame:
     """One row per input row: doc_id, counts of the base kinds, base_sha256, spans, and all spans as an array.
 
-    ``rate`` is the false-discovery rate, ``reject`` the level at which one test
-    of randomness rejects.
+    ``rate`` is the false-discovery rate of reported runs, ``reject`` that of runs
+    declared not random.
     """
     text = text_of(text_col)
     part = lambda spans: F.filter(spans, lambda s: F.length(s["part"]) >= ASSIGN_VALUE)
