@@ -117,15 +117,25 @@ def inputs(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, *more: str) -> DataFrame:
-    """The ``rows`` rows at most with the smallest hash of ``key`` and ``more``: the same rows in each run, at any partitioning.
+    """Fewer than ``rows`` rows with the smallest hashes of ``key`` and ``more``: the same rows in each run, at any partitioning.
 
-    Only one number comes to the driver, and only hashes are sorted.  Rows that
-    tie on the last hash count as one, so rows that repeat do not pass the bound.
+    A table of fewer rows is taken whole.  Two numbers come to the driver, and only
+    hashes are sorted.  Rows that tie on the last hash stay out, so rows that
+    repeat do not pass the bound; where all tie, one stands for them.
     """
     h = F.xxhash64(F.col(key), *[F.col(c) for c in more])
-    top, n = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h"), F.count(F.lit(1))).first()
-    if top is None:
-        return df.where(F.lit(False))
+    n, least, top = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.count(F.lit(1)), F.min("h"), F.max("h")).first()
     if n < rows:
         return df
-    return df.where(h < F.lit(top)).unionByName(df.where(h == F.lit(top)).limit(1))
+    return df.where(h < F.lit(top)) if least < top else df.where(h == F.lit(top)).limit(1)
+
+
+def unused(columns: list[str], *names: str) -> tuple[str, ...]:
+    """Names for helper columns that ``columns`` does not have, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return tuple(out)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_bucket, text_of
+from .common import bounded_sample, crc_bucket, text_of, unused
 
 CELLS = 1 << 16
 UNDETERMINED = "und"
@@ -149,15 +149,20 @@ def identify_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without documents that have no letter or no language with a proportion of ``least`` or more."""
+    """``docs`` without documents that have no letter or no language with a proportion of ``least`` or more; columns unchanged.
+
+    Null and empty texts go.  Rows that repeat are judged each for itself.  Where
+    there was nothing to learn from, every text with a letter stays.
+    """
     held = crc_bucket("doc_id", 4) == 2
     model = train(docs, where=~held)
     names = docs.columns
-    rows = docs.withColumn("__text", F.when(text_of("text").rlike(r"\p{L}"), F.col("text")))
+    (own,) = unused(names, "__text")
+    rows = docs.withColumn(own, F.when(text_of("text").rlike(r"\p{L}"), F.col("text")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [bool(t) and (not model.langs or model.infer(t)[3] >= least) for t in batch["__text"].to_pylist()]
+            good = [bool(t) and (not model.langs or model.infer(t)[3] >= least) for t in batch[own].to_pylist()]
             yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
     return rows.mapInArrow(pick, docs.schema)

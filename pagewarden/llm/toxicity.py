@@ -8,8 +8,14 @@ expectation-maximisation; voters that agree more than their accuracies explain
 share their weight.  A linear classifier over words and beginnings of words is
 then trained on the posterior labels and scores whole texts.
 
-Everything is fitted on a bounded sample of labelled rows (``sample_rows``, a
-documented parameter).
+Everything is fitted on bounded samples (documented parameters) of the training
+fold: ``sample_rows`` rows with a label, and ``unlabelled_rows`` without one, on
+which the label abstains and the other voters decide.
+
+Null and empty texts have no feature.  Rows that repeat, or share or lack an id,
+are scored each for itself; of the texts of one labelled id the least counts for
+training.  Scores that tie at 0.5 count as toxic.  An empty table gives no rows.
+Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_bucket, text_of
+from .common import bounded_sample, crc_bucket, persist, text_of
 
 # Plain insults that start the lexicon.
 LEXICON = ("idiot", "moron", "stupid", "trash", "scum", "loser", "pathetic", "worthless", "disgusting", "clown")
@@ -35,7 +41,7 @@ def features(text: str) -> set[str]:
     """Distinct words ("=word") and beginnings of longer words ("^begi")."""
     out: set[str] = set()
     for w in set(_WORD.findall(text.lower())):
-        out.add("=" + w[:40])
+        out.add("=" + w)
         for k in BEGINNINGS:
             if len(w) >= k:
                 out.add("^" + w[:k])
@@ -118,17 +124,31 @@ def linear(rows: list[np.ndarray], target: np.ndarray, n: int, l2: float = 1.0,
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, where=None, sample_rows: int = 12_000, most_features: int = 4000, voters: int = 200
-) -> Scorer:
-    """Fit on labelled rows (text and ``toxic`` not null).  Several labels of a document count as the highest.
-
-    What comes to the driver is bounded by ``sample_rows`` and ``most_features``.
-    Without any labelled row all scores are those of the fixed lexicon.
+    docs: DataFrame, labels: DataFrame, where=None, sample_rows: int = 12_000, unlabelled_rows: int = 6_000,
+    most_features: int = 4000, voters: int = 200, least_yes: int = 4, least_z: float = 3.0,
+) -> Scorer:
+    """Fit on a sample of the training fold (``where``, by default ids whose crc32 mod 5 is not 0).
+
+    Several labels of a document count as the highest.  Features occur in
+    ``least_yes`` toxic documents or more, ``least_z`` deviations above what
+    chance gives; the best ``most_features`` are weighed, ``voters`` of them vote.
+    What comes to the driver is bounded by these parameters.  Without any labelled
+    row all scores are those of the fixed lexicon.
     """
-    gold = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    gold = gold.where(crc_bucket("doc_id", 5) != 0) if where is None else gold.where(where)
-    gold = bounded_sample(gold, "doc_id", sample_rows)
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(gold), "doc_id")  # bounded by sample_rows
+    fold = crc_bucket("doc_id", 5) != 0 if where is None else where
+    every = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    gold = bounded_sample(every.where(fold), "doc_id", sample_rows)
+    ones, n = gold.agg(F.sum((F.col("toxic") > 0).cast("int")), F.count(F.lit(1))).first()
+    fixed = ["=" + w for w in LEXICON]
+    if not n or not ones:
+        return Scorer({f: 6.0 for f in fixed}, -3.0)
+    rate = ones / n
+    other = docs.select("doc_id").where(F.col("doc_id").isNotNull() & fold).distinct().join(every.select("doc_id"), "doc_id", "left_anti")
+    other = bounded_sample(other, "doc_id", unlabelled_rows).withColumn("toxic", F.lit(None).cast("int"))
+    wanted = F.broadcast(gold.unionByName(other))  # bounded by sample_rows and unlabelled_rows
+    rows = docs.select("doc_id", text_of("text").alias("text")).join(wanted, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = persist(docs.sparkSession, rows, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = {}
@@ -141,15 +161,10 @@ def train(
                               schema=pa.schema([("f", pa.string()), ("no", pa.int64()), ("yes", pa.int64())]))
 
     sample = rows.select("text", "toxic")
-    ones, n = gold.agg(F.sum((F.col("toxic") > 0).cast("int")), F.count(F.lit(1))).first()
-    fixed = ["=" + w for w in LEXICON]
-    if not n or not ones:
-        return Scorer({f: 6.0 for f in fixed}, -3.0)
-    rate = ones / n
-    counts = sample.mapInArrow(count, "f string, no long, yes long").groupBy("f").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    counts = sample.where("toxic IS NOT NULL").mapInArrow(count, "f string, no long, yes long").groupBy("f").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
     all_ = F.col("no") + F.col("yes")
     z = (F.col("yes") - rate * all_) / F.sqrt(all_ * rate + 1)
-    best = counts.where("yes >= 4").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "f").limit(most_features)
+    best = counts.where(F.col("yes") >= least_yes).withColumn("z", z).where(F.col("z") > least_z).orderBy(F.desc("z"), "f").limit(most_features)
     best = [(r["f"], r["no"], r["yes"]) for r in best.collect()]
     names = list(dict.fromkeys([f for f, _, _ in best] + fixed))
     place = {f: k for k, f in enumerate(names)}
@@ -161,7 +176,7 @@ def train(
 
     table = sample.mapInArrow(hits, "hits array<int>, toxic int").toArrow()
     found = [np.array(sorted(x), np.int64) for x in table["hits"].to_pylist()]
-    y = table["toxic"].to_numpy()
+    y = table["toxic"].fill_null(-1).to_numpy()  # -1: no label
     order = sorted(range(len(found)), key=lambda k: (found[k].tobytes(), int(y[k])))  # the same fit in each run
     found, y = [found[k] for k in order], y[order]
     # Voters: the fixed lexicon, learned words and beginnings that are rarely seen without the label, the label itself.
@@ -173,7 +188,7 @@ def train(
         mine = [where_voter[c] for c in x if c in where_voter]
         votes[k, mine] = 1
         votes[k, -2] = 0 if mine else -1  # a voter against: no pattern at all
-        votes[k, -1] = 1 if y[k] > 0 else -1
+        votes[k, -1] = 1 if y[k] > 0 else -1 if y[k] == 0 else 0  # the label, where there is one
     post = label_model(votes, rate)
     w, bias = linear(found, post, len(names))
     return Scorer({f: float(w[k]) for f, k in place.items() if abs(w[k]) > 1e-4}, bias)
