@@ -92,6 +92,34 @@ ORACLES = {
                           count(*) OVER (PARTITION BY text_sha256) AS group_size
                    FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""",
+    "op5_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+             g AS (SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)),
+                          lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM d WHERE len(w) > 0),
+             s AS (SELECT g, min(doc_id) AS rep_id, count(*) AS copies, len(g) AS n FROM g GROUP BY g),
+             x AS (SELECT rep_id, n, copies, unnest(g) AS t FROM s),
+             p AS (SELECT a.rep_id AS a, b.rep_id AS b, any_value(b.copies) AS copies FROM x AS a JOIN x AS b ON a.t = b.t AND a.rep_id <> b.rep_id
+                   GROUP BY 1, 2, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+             c(node, class_id) AS (SELECT rep_id, rep_id FROM s UNION SELECT p.a, c.class_id FROM c JOIN p ON p.b = c.node),
+             r AS (SELECT node, min(class_id) AS class_id FROM c GROUP BY 1),
+             l AS (SELECT a, sum(copies)::BIGINT AS links FROM p GROUP BY 1)
+        SELECT g.doc_id, r.class_id, s.rep_id, coalesce(l.links, 0) + s.copies - 1 AS n_links
+        FROM g JOIN s USING (g) JOIN r ON r.node = s.rep_id LEFT JOIN l ON l.a = s.rep_id
+        UNION ALL SELECT doc_id, doc_id, doc_id, 0 FROM d WHERE len(w) = 0""",
+    "op6_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, unnest(generate_series(0, length(h) // 2 - 50)) AS p, h FROM d WHERE length(h) >= 100),
+             k AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS k FROM w),
+             m AS (SELECT doc_id, p FROM k QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+             e AS (SELECT *, CASE WHEN p > lag(p) OVER o + 50 THEN 1 ELSE 0 END AS cut FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+             i AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM e),
+             r AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY 1, 2),
+             q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+             t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+                          string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id)""",
     "op9_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                           md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
