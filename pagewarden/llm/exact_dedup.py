@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, persist, scratch_path, settings, text_of
+from .common import BLANKS, persist, scratch_path, settings, text_of, unused
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: All state stores of an executor share this much memory for blocks and write buffers; the rest is on its disk.
@@ -140,17 +140,22 @@ def _shape(rows: DataFrame) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; columns unchanged.
 
-    Rows are matched by id.  Where an id is repeated, rows are matched by id and
-    digest, and repeats of both are reduced to one row.
+    Rows are matched by id.  Where an id is repeated or missing, rows are matched
+    by id and digest; of those the longest text stays, then the least by hash, and
+    rows with the same id and text are reduced to one.
     """
     rows = exact_dedup(spark, docs, id_col, text_col)
     rows = persist(spark, rows.select("doc_id", "kept", "text_sha256"), "dedup-kept")
     stay = rows.where("kept")
+    own, digest, best, kept, key = unused(docs.columns, "__id", "__digest", "__best", "__kept", "__key")
     repeated = not rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
     if not repeated:
-        return docs.join(stay.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
-    digest = F.sha2(normalised(text_of(text_col)).cast("binary"), 256)
-    marked = docs.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"])
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))
-    return marked.join(stay, match, "left_semi").select(docs.columns)
+        return docs.join(stay.select(F.col("doc_id").alias(own)), F.col(id_col) == F.col(own), "left_semi").select(docs.columns)
+    text = text_of(text_col)
+    marked = docs.withColumn(digest, F.sha2(normalised(text).cast("binary"), 256)).withColumn(best, F.struct(-F.length(text), F.xxhash64(text)))
+    stay = stay.select(F.col("doc_id").alias(own), F.col("text_sha256").alias(kept))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(digest) == F.col(kept))
+    marked = marked.join(stay, match, "left_semi")
+    first = marked.groupBy(F.col(id_col).cast("long").alias(own), F.col(digest).alias(kept)).agg(F.min(best).alias(key))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(digest) == F.col(kept)) & (F.col(best) == F.col(key))
+    return marked.join(first, same, "left_semi").dropDuplicates([id_col, digest]).select(docs.columns)

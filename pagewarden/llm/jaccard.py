@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist, text_of
+from .common import persist, text_of, unused
 from .components import components
 
 WORDS = 5
@@ -302,9 +302,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     stay = persist(spark, rows.where("row = class_row").select("doc_id", "h1", "h2"), "jaccard-kept")
     twice = rows.groupBy("doc_id", "h1", "h2").count().where("count > 1")
     repeated = not twice.isEmpty()
-    marked = docs.select("*", F.xxhash64(text_of(text_col)).alias("__h1"), F.xxhash64(F.lit("second"), text_of(text_col)).alias("__h2"))
+    own, h1, h2, k1, k2 = unused(docs.columns, "__id", "__h1", "__h2", "__k1", "__k2")
+    marked = docs.select("*", F.xxhash64(text_of(text_col)).alias(h1), F.xxhash64(F.lit("second"), text_of(text_col)).alias(h2))
     if repeated:
-        marked = marked.dropDuplicates([id_col, "__h1", "__h2"])
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("h1").alias("__k1"), F.col("h2").alias("__k2"))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2"))
+        marked = marked.dropDuplicates([id_col, h1, h2])
+    stay = stay.select(F.col("doc_id").alias(own), F.col("h1").alias(k1), F.col("h2").alias(k2))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2))
     return marked.join(stay, match, "left_semi").select(docs.columns)

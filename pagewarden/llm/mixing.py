@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persist, text_of, words_of
+from .common import persist, text_of, unused, words_of
 
 #: Weights of the sources by rank of their name, repeating (fixed by the contract of this query).
 WEIGHTS = (5, 2, 1)
@@ -78,7 +78,7 @@ def mix_sources(
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
     )
     sized = persist(spark, sized, "mix-sizes")
-    buckets = max(1, min(1 << 16, -(-sized.count() // rows_per_bucket)))
+    buckets = max(1, -(-sized.count() // rows_per_bucket))
     # Range of the shuffled order: the first 32 bits of the md5, scaled.
     head = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long")
     sized = sized.withColumn("bucket", F.floor(head * buckets / F.lit(2.0**32)).cast("int"))
@@ -153,13 +153,21 @@ def mix_documents(
     """``docs`` as the mix takes them: rows that are not taken go, rows taken twice are repeated; columns unchanged.
 
     The document on the cut, which the mix takes in part, stays whole.  Rows that
-    share id, source and size share their turns evenly.
+    share id, source and size share their turns: all get the same number, and of
+    what is left over one each goes to the first by text.
     """
     mixed = mix_sources(spark, docs, id_col, text_col, source_col)
-    turns = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
-    turns = mixed.groupBy("doc_id", "source", "size").agg(F.round(F.avg(turns)).cast("int").alias("__turns")).where("__turns > 0")
-    turns = turns.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__n"})
-    sized = docs.withColumn("__size", words_of(text_of(text_col)))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
-    rows = sized.join(turns, match & (F.col("__size") == F.col("__n")))
-    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__turns")))).select(docs.columns)
+    own, source, n, turns, extra, size, place, turn = unused(
+        docs.columns, "__id", "__source", "__n", "__turns", "__extra", "__size", "__place", "__turn")
+    each = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
+    sums = mixed.groupBy("doc_id", "source", "size").agg(F.sum(each).alias("t"), F.count(F.lit(1)).alias("c")).where("t > 0")
+    sums = sums.select(
+        F.col("doc_id").alias(own), F.col("source").alias(source), F.col("size").alias(n),
+        F.floor(F.col("t") / F.col("c")).cast("int").alias(turns), (F.col("t") % F.col("c")).alias(extra))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & F.col(source_col).cast("string").eqNullSafe(F.col(source))
+    rows = docs.withColumn(size, words_of(text_of(text_col))).join(sums, match & (F.col(size) == F.col(n)))
+    first = F.row_number().over(Window.partitionBy(own, source, n).orderBy(text_col))
+    uneven = rows.where(F.col(extra) > 0).withColumn(place, first)
+    uneven = uneven.withColumn(turns, F.col(turns) + (F.col(place) <= F.col(extra)).cast("int")).drop(place)
+    rows = rows.where(F.col(extra) == 0).unionByName(uneven).where(F.col(turns) > 0)
+    return rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turns)))).select(docs.columns)

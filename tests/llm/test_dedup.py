@@ -28,6 +28,14 @@ def test_exact_dedup(spark, docs_of):
     assert left.columns == docs_of(rows).columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 6, 7, 9]
 
 
+def test_kept_rows_of_one_id(spark, docs_of):
+    """Where id and digest repeat, the longest text stays; helper columns give way to columns of the same names."""
+    rows = [(1, "a b"), (1, "a  b "), (1, "ab"), (None, "c"), (None, "c "), (2, "ab"), (2, "z")]
+    left = X.drop_copies(spark, docs_of(rows).withColumnsRenamed({"size": "__digest", "row": "__ID", "kept": "__best"}))
+    assert left.columns[5:] == ["__digest", "__ID", "taken", "__best"]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, "c "), (1, "a  b "), (2, "z")]
+
+
 def test_state_over_many_batches(spark, docs_of):
     rows = [(i, f"t{i % 5}") for i in range(60)]
     got = X.exact_dedup(spark, docs_of(rows, 6), files_per_batch=1).collect()

@@ -118,6 +118,8 @@ def test_mixing(spark, docs_of):
     assert sorted(map(str, again)) == sorted(map(str, got))
     mixed = mixing.mix_documents(spark, docs_of(rows))
     assert mixed.columns == docs_of(rows).columns and mixed.where("source = 'empty'").count() == 0
+    turns = sum(-(-r["taken"] // r["size"]) for r in got if r["size"])
+    assert mixed.count() == turns and mixed.where("doc_id = 3").count() == sum(-(-r["taken"] // r["size"]) for r in got if r["doc_id"] == 3 and r["size"])
     assert mixing.mix_sources(spark, docs_of(rows).limit(0)).count() == 0
 
 
@@ -170,6 +172,83 @@ def test_secrets_in_assignments_and_lower_case(spark, docs_of):
     assert [s["part"] for s in found.first()["f"]] == [parts[1] + "=", parts[0]]
 
 
+def brute_battery(part):
+    """(encoding, n, p_chi, p_runs, p_serial, p_random, p_ordinary), or None, worked out character by character."""
+    core = part.rstrip("=")
+    found = [e for e in secrets.ENCODINGS if re.fullmatch(e[1].strip("^$"), core) or re.match(e[1], core)]
+    if not found:
+        return None
+    name, _, alphabet, kappa = found[0]
+    core = core.lower() if name in ("hex", "base36") else core.replace("-", "+").replace("_", "/")
+    n, m = len(core), len(alphabet)
+    above = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    squares = sum(core.count(c) ** 2 for c in alphabet)
+    p_chi = above((m / n * squares - n - (m - 1)) / math.sqrt(2 * (m - 1) * (1 - 1 / n)))
+    x = [alphabet.index(c) + 1 - (m + 1) / 2 for c in core]
+    runs, n1 = 1 + sum((a > 0) != (b > 0) for a, b in zip(x, x[1:])), sum(v > 0 for v in x)
+    n2, p_runs = n - n1, 0.0
+    if n1 > 1 and n2 > 1:
+        mean = 2 * n1 * n2 / n + 1
+        p_runs = 2 * above(abs(runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)))
+    mean = sum(x) / n
+    power = sum((v - mean) ** 2 for v in x)
+    p_serial = 2 * above(abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / power) * math.sqrt(n)) if power else 0.0
+    turned = sum(math.tan((0.5 - min(max(p, 1e-15), 0.99)) * math.pi) for p in (p_chi, p_runs, p_serial)) / 3
+    p_random = 1 / (turned * math.pi) if turned > 1e6 else 0.5 - math.atan(turned) / math.pi
+    pairs = n * (n - 1) / 2
+    triple = max(0.0, kappa**1.5 * 0.9 - kappa**2)
+    spread = math.sqrt(pairs * kappa * (1 - kappa) + n * (n - 1) * (n - 2) * triple * 0.25)
+    return name, n, p_chi, p_runs, p_serial, p_random, 1 - above(((squares - n) / 2 - kappa * pairs) / spread)
+
+
+def brute_discoveries(parts, rate=0.05, reject=0.01):
+    """Both limits by the plain step-up rule over binned p-values."""
+    tested = [(k, *t) for k, t in enumerate(map(brute_battery, parts)) if t]
+    bin_of = lambda p: max(0, min(math.floor(-math.log10(max(p, 1e-90)) * 20), 2000))
+    out = set()
+    for c in {int(math.log2(t[2])) for t in tested}:
+        mine = [(t[0], bin_of(t[6]), bin_of(t[7])) for t in tested if int(math.log2(t[2])) == c]
+
+        def limit(pairs, share):
+            good = [b for b in {b for b, _ in pairs} if 10 ** (-b / 20) * len(pairs) <= share * sum(x >= b and ok for x, ok in pairs)]
+            return min(good, default=None)
+
+        away = limit([(a, True) for _, a, _ in mine], reject)
+        random = [(k, b, away is None or a < away) for k, a, b in mine]
+        least = limit([(b, ok) for _, b, ok in random], rate)
+        out |= {k for k, b, ok in random if least is not None and ok and b >= least}
+    return out
+
+
+def test_battery_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda chars, n: "".join(chars[int(x)] for x in rng.integers(0, len(chars), n))
+    parts = [draw(chars, int(rng.integers(20, 70))) for _ in range(60)] + [draw("0123456789abcdef", 64) for _ in range(20)]
+    parts += [draw("aeinrst01", int(rng.integers(20, 60))) for _ in range(60)] + [draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32) + "====" for _ in range(20)]
+    parts += ["Abc1" * 8, "a1" * 15, "a" * 30 + "1", "A1b2-_" * 6, "onlyletters" * 3]
+    df = spark.createDataFrame([(k, 0, len(p), p) for k, p in enumerate(parts)], "row long, start int, end int, part string")
+    got = {r["row"]: r for r in secrets.battery(df).collect()}
+    for k, p in enumerate(parts):
+        want = brute_battery(p)
+        assert (k in got) == (want is not None)
+        if want:
+            assert got[k]["encoding"] == want[0] and got[k]["n"] == want[1]
+            for c, v in zip(("p_chi", "p_runs", "p_serial", "p_random", "p_ordinary"), want[2:]):
+                assert got[k][c] == pytest.approx(v, abs=3e-7, rel=1e-3), (c, p)
+    found = {r["row"] for r in secrets.discoveries(spark, df, 0.05, 0.01).collect()}
+    want = brute_discoveries(parts)
+    assert len(found ^ want) <= 2 and len(want) >= 60  # a p-value on the edge of a bin may fall on either side
+
+
+def test_spans_of_a_long_text(spark):
+    """Positions come out right, and fast, for a text of very many matches."""
+    text = "token=abcdef " * 30_000
+    df = spark.createDataFrame([(text,)], "t string")
+    spans = df.select(secrets.found(F.col("t"), secrets.ASSIGN, 2).alias("s")).first()["s"]
+    assert [(s["start"], s["end"]) for s in spans] == [(13 * k, 13 * k + 12) for k in range(30_000)]
+
+
 def test_language(spark, docs_of):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.identify_languages(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -200,6 +279,47 @@ def test_toxicity(spark, docs_of):
     assert toxicity.score_toxicity(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def brute_posterior(votes, prior, rounds=30):
+    """The label model, row by row."""
+    n, m = votes.shape
+    post = [0.9 if (votes[i] > 0).sum() > 0 else 0.5 * prior for i in range(n)]
+    weight = [1.0] * m
+    for k in range(rounds):
+        prior = min(max(sum(post) / n, 1e-3), 0.5)
+        chance = {}
+        for j in range(m):
+            for side in (1, -1):
+                yes = sum(post[i] for i in range(n) if votes[i, j] == side)
+                no = sum(1 - post[i] for i in range(n) if votes[i, j] == side)
+                chance[j, side] = math.log((yes + 0.5) / (sum(post) + 10) / ((no + 0.05) / (n - sum(post) + 10)))
+        new = []
+        for i in range(n):
+            gap = math.log(prior / (1 - prior)) + sum(weight[j] * chance[j, int(votes[i, j])] for j in range(m) if votes[i, j])
+            new.append(1 / (1 + math.exp(-min(max(gap, -30), 30))))
+        post = new
+        if k == rounds // 3:
+            weight = (1 / (1 + toxicity._shared(votes, np.array(post)))).tolist()
+    return np.array(post)
+
+
+def test_label_model_against_brute_force():
+    rng = np.random.default_rng(18)
+    y = rng.random(200) < 0.3
+    votes = np.zeros((200, 5), np.int8)
+    for j, (hit, false) in enumerate([(0.8, 0.05), (0.6, 0.1), (0.5, 0.02)]):
+        votes[:, j] = np.where(y, rng.random(200) < hit, rng.random(200) < false)
+    votes[:, 3] = np.where(votes[:, :3].any(1), 0, -1)
+    votes[:, 4] = np.where(rng.random(200) < 0.5, np.where(y, 1, -1), 0)  # a label for half of the rows
+    assert toxicity.label_model(votes, 0.3) == pytest.approx(brute_posterior(votes, 0.3), abs=1e-9)
+
+
+def test_features_are_whole_words():
+    long = "x" * 60 + "idiot"
+    assert "=" + long in toxicity.features(long)
+    scorer = toxicity.Scorer({"=" + long: 5.0}, -2.0)
+    assert scorer.score(long) > 0.9 and scorer.score(long[:40]) < 0.2
+
+
 def test_label_model_finds_good_voters():
     rng = np.random.default_rng(8)
     y = rng.random(4000) < 0.2

@@ -67,8 +67,9 @@ def test_every_row_has_a_result(spark, docs_of, plain):
     rows = ROWS + [(5, "five again"), (5, "five again"), (5, None), (None, None), (None, "no key"), (-4, "below"), (-4, "zero")]
     got = T.token_files(spark, docs_of(rows)).collect()
     at, want = 0, []
-    for k, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
-        ids = np.array(plain(t) + [0], "<u4")
+    coded = [(k, np.array(plain(t) + [0], "<u2")) for k, t in rows]
+    for k, ids in sorted(coded, key=lambda r: (r[0] is None, r[0] or 0, r[1].tobytes())):
+        ids = ids.astype("<u4")
         want.append((k, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
@@ -86,6 +87,20 @@ def test_every_row_has_a_result(spark, docs_of, plain):
     assert runs == {5: plain("a") + [0] + plain("b") + [0], None: plain("n") + [0]}
 
 
+def test_small_shards(spark, docs_of, plain, monkeypatch):
+    """Many shards of few rows, read in small ranges; ids of one document need not fit in a range."""
+    monkeypatch.setattr(T, "READ_BYTES", 64)
+    rows = [(k, "word " * (k * 7 % 50)) for k in range(-20, 60)] + [(None, "none")] * 3 + [(30, "same")] * 20 + [(2**63 - 1, "last")]
+    uri = scratch_path(spark, "t")
+    manifest = T.write_token_files(spark, docs_of(rows), uri, shard_bytes=900)
+    assert manifest.count() > 5
+    got = sorted(map(tuple, T.read_token_files(manifest, uri, null_ids=True).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((k for k, _ in rows if k is not None)) + [None] * 3
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got]).tolist()[:-1]]
+    crc = Counter((k, zlib.crc32(np.array(plain(t) + [0], "<u4").tobytes())) for k, t in rows)
+    assert Counter((r[0], r[3]) for r in got) == crc
+
+
 def check_plan(histogram, plan, capacity=2048):
     total = Counter()
     for config, times in plan:
@@ -141,7 +156,7 @@ def test_plans_against_all_packings():
         sizes = rng.integers(1, 21, int(rng.integers(1, 10))).tolist()
         plan, best = K.plan(dict(Counter(sizes)), 20), fewest(sizes, 20)
         check_plan(dict(Counter(sizes)), plan.configurations, 20)
-        assert plan.bound <= best + 1e-9 <= plan.sequences + 1e-9 <= best + 1
+        assert plan.bound - 1e-6 <= best <= plan.sequences <= best + 1
         more += plan.sequences - best
     assert more <= 4
 
