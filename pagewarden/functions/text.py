@@ -54,10 +54,80 @@ def matches(text: Column, pattern: str, flags: str = FLAGS) -> Column:
     return F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0))
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern at its top level; one that is a plain group gives its own."""
+    out, depth, inside, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    out.append(pattern[start:])
+    if len(out) > 1:
+        return [x for part in out for x in alternatives(part)]
+    return alternatives(pattern[3:-1]) if pattern.startswith("(?:") and _closes_last(pattern) else out
+
+
+def _closes_last(pattern: str) -> bool:
+    """Whether the group that opens a pattern closes at its very end."""
+    depth, inside, i = 0, False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return i == len(pattern) - 1
+        i += 1
+    return False
+
+
+def by_beginning(pattern: str, deep: int = 4) -> str:
+    """A pattern that matches in the same texts, with alternatives put together by their first characters.
+
+    A long list of words is tried word by word at every place of a text; put
+    together by beginnings, most of them fail on one character.  It tells only
+    whether there is a match: which alternative it is may differ.
+    """
+    return _together(alternatives(pattern), deep)
+
+
+def _together(parts: list[str], deep: int) -> str:
+    groups: dict[str, list[str]] = {}
+    for part in parts:
+        edge = "\\b" if part.startswith("\\b") else ""
+        rest = part[len(edge) :]
+        plain = deep > 0 and rest[:1] and (rest[0].isalnum() or rest[0] in " -") and rest[1:2] not in ("*", "+", "?", "{")
+        head = edge + rest[0] if plain else ""
+        groups.setdefault(head, []).append(part[len(head) :])
+    out = [x for x in groups.pop("", [])]
+    for head, rest in groups.items():
+        out.append(head + (rest[0] if len(rest) == 1 else "(?:" + _together(rest, deep - 1) + ")"))
+    return "|".join(out)
+
+
+def has_match(text: Column, pattern: str) -> Column:
+    return text.rlike(f"{FLAGS}(?:{by_beginning(pattern)})")
+
+
 def distinct_matches(text: Column, pattern: str) -> Column:
     """Sorted distinct lower-cased matches.  The cheap test first spares the extraction for texts without any."""
     found = F.array_sort(F.array_distinct(F.transform(matches(text, pattern), F.lower)))
-    return F.when(text.rlike(FLAGS + pattern), found).otherwise(F.array().cast("array<string>"))
+    return F.when(has_match(text, pattern), found).otherwise(F.array().cast("array<string>"))
 
 
 def ordered_matches(text: Column, pattern: str, most: int = 400) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
+from ..functions import patterns as P
 from ..functions import text as X
 from ..operators.classify import biz_type
 from ..operators.contacts import extract_contacts
@@ -178,3 +179,18 @@ def obfuscation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, lower(regexp_extract(coalesce(text, ''), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) AS e FROM documents)""")
 def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_contacts(table(spark, sf_dir, "documents"), "doc_id", "text", "text").select("doc_id", "phone", "email")
+
+
+def _signature_sql(name: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"SELECT '{name}' AS list, count_if(regexp_matches(text, '(?i){quoted}'))::BIGINT AS docs FROM documents"
+
+
+SIGNATURES = {"strong": P.ALL_STRONG, "weak": P.ALL_WEAK, "deface": P.RX_DEFACE, "campaign": P.RX_MALJS, "slug": P.RX_SLUG_SPAM}
+
+
+@query("signature_documents", " UNION ALL ".join(_signature_sql(n, p) for n, p in SIGNATURES.items()))
+def signature_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many whole documents the signature lists match: the cost of the library itself."""
+    rows = table(spark, sf_dir, "documents").agg(*[F.count_if(X.has_match(F.col("text"), p)).alias(n) for n, p in SIGNATURES.items()])
+    return rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("list"), F.col(n).alias("docs")) for n in SIGNATURES])))

@@ -91,3 +91,17 @@ def test_running_starts(spark):
             want.append(at + g)
             at += g + n
         assert starts == want
+
+
+def test_alternatives_put_together(spark):
+    """The same texts match, whatever the order of the alternatives."""
+    from pagewarden.functions import patterns as P
+
+    words = ["judi", "slot gacor", "slot-gacor", "qq slot", "qqslot", "pin-up", "pinup", "owned by the red team", "baji live", "baji88", "viagra", "xviagra", "casinos",
+             "casino", "mr. x1 team", "slotonline", "slot-777", "казино", "พนัน", "hacked by", "plain text", "", "ndsw=", "bahissiteleri", "da ga", "dada gaga", "no hu"]
+    words += [w.upper() for w in words] + [a + " " + b for a, b in zip(words, words[7:])] + [a + b for a, b in zip(words, words[3:])]
+    for pattern in (P.ALL_STRONG, P.ALL_WEAK, P.RX_DEFACE, P.RX_MALJS, P.RX_SLUG_SPAM, P.RX_WAF, r"a|ab?|a*b|(?:c|\\bd)|[|x]y|e{2}"):
+        df = spark.createDataFrame([(w,) for w in words], "t string")
+        rows = df.select("t", X.has_match(F.col("t"), pattern).alias("fast"), F.col("t").rlike(X.FLAGS + pattern).alias("plain")).collect()
+        assert [r["t"] for r in rows if r["fast"] != r["plain"]] == []
+    assert X.alternatives("a|(b|c)|[|]|(?:d|e)") == ["a", "(b|c)", "[|]", "d", "e"] and X.by_beginning("ab|ac|b") == "a(?:b|c)|b"
