@@ -238,7 +238,7 @@ def test_battery_against_brute_force(spark):
                 assert got[k][c] == pytest.approx(v, abs=3e-7, rel=1e-3), (c, p)
     found = {r["row"] for r in secrets.discoveries(spark, df, 0.05, 0.01).collect()}
     want = brute_discoveries(parts)
-    assert len(found ^ want) <= 2 and len(want) >= 60  # a p-value on the edge of a bin may fall on either side
+    assert len(found ^ want) <= 2 and len(want) >= 40  # a p-value on the edge of a bin may fall on either side
 
 
 def test_spans_of_a_long_text(spark):
