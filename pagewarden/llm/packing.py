@@ -10,8 +10,8 @@ lengths share sequences, so the solving is the same work at any corpus size:
    and, from each length, configurations within ``tolerance`` of it.  Each table
    of prices also gives a lower bound, its dual.
 2. The fractional solution is rounded, and what is left is solved anew, until a
-   round places little.  The last pieces go best-fit into the room left, then
-   into new sequences.
+   round places little.  The last pieces, and those of configurations that are
+   not full, go best-fit into the room left, then into new sequences.
 3. Pieces are dealt to the places of the configurations by their rank within
    their length.  Ranks come from counts per (task, length), joined back, so no
    length gathers in one task.
@@ -176,11 +176,13 @@ class Plan(NamedTuple):
         return sum(t for _, t in self.configurations)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 16) -> Plan:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 16, slack: int = 1) -> Plan:
     """How often each configuration is used; every length exactly as often as the histogram has it.
 
     ``rounds``: how often the rounded rest is solved anew at most.  Whatever is
-    left then is placed best-fit, so no piece is lost.
+    left then is placed best-fit, so no piece is lost.  Rounded configurations
+    with more than ``slack`` places empty give their pieces to that rest where
+    this needs fewer sequences; the full ones stay as the program has them.
     """
     left = dict(histogram)
     used: Counter = Counter()
@@ -197,9 +199,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 16)
         before, rest = rest, sum(left.values())
         if before - rest < 0.1 * before:
             break
-    whole = [(dict(key), times) for key, times in used.items()]
-    packed = best_fit({s: n for s, n in left.items() if n}, whole, capacity)
-    return Plan(packed, bound, sum(histogram.values()) - rest)
+    pieces = sum(histogram.values())
+    plans = []
+    for most in (capacity, slack):
+        whole, rest = [], Counter({s: n for s, n in left.items() if n})
+        for key, times in used.items():
+            if capacity - sum(s * n for s, n in key) <= most:
+                whole.append((dict(key), times))
+            else:
+                rest.update({s: n * times for s, n in key})
+        plans.append(Plan(best_fit(dict(rest), whole, capacity), bound, pieces - sum(rest.values())))
+    return min(plans, key=lambda p: p.sequences)
 
 
 class Places:
