@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import FLAGS, running_starts
 
-# What opens an address, and addresses that belong to tools.
+# Phone and e-mail patterns, what opens an address, and addresses that belong to tools.
+PHONE = r"(?:\+?880[\s-]?|0)1[3-9]\d{8}"
+MAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 ADDRESS_WORD = r"(house|holding|plot|flat|road|block|sector|level|floor|suite|lane|avenue|tower|bhaban|bhavan|plaza|complex|রোড|সড়ক|বাড়ি|ব্লক|সেক্টর)"
 MAIL_SKIP = r"(example|sentry|wixpress|godaddy|\.png|\.jpg|domain\.com|email\.com|yourdomain|wordpress)"
 # Limits of the edge scanner, for callers that want them; off by default.
@@ -19,12 +21,12 @@ MOST_WORDS = 200
 
 
 def phone_of(text: Column) -> Column:
-    found = F.regexp_substr(text, F.lit(r"(?:\+?880[\s-]?|0)1[3-9]\d{8}"))
+    found = F.regexp_substr(text, F.lit(PHONE))
     return F.coalesce(F.regexp_replace(found, r"[\s-]", ""), F.lit(""))
 
 
 def email_of(html: Column) -> Column:
-    found = F.lower(F.regexp_substr(html, F.lit(r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}")))
+    found = F.lower(F.regexp_substr(html, F.lit(MAIL)))
     return F.coalesce(F.when(~found.rlike(MAIL_SKIP), found), F.lit(""))
 
 

@@ -22,6 +22,7 @@ HREF = FLAGS + r"<a\b[^>]*\bhref\s*=\s*['\"]([^'\"]+)['\"]"
 JSONLD_NAME = FLAGS + r'"name"\s*:\s*"([^"]+)"'
 OG_TITLE = FLAGS + r"<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']+)[\"']"
 PLAIN_URL = FLAGS + r"https?://[a-z0-9.\-]+\.[a-z]{2,}[^\s'\"<>,)]*"
+CHILD_MAP = FLAGS + r'https?://[^<\s"]+\.xml'
 ANY_HOST = FLAGS + r"\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}\b"
 
 
@@ -209,7 +210,7 @@ def sitemap_walk(captures: DataFrame, most_maps: int = 3, most_children: int = 6
     named = robots_sitemaps(captures, most_maps)
     maps = captures.where("variant = 'sitemap'").select("domain", F.col("final_url").alias("url"), "text")
     roots = named.join(maps, ["domain", "url"]).where("text != ''")
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(FLAGS + r'https?://[^<\s"]+\.xml'), F.lit(0))))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(CHILD_MAP), F.lit(0))))
     kids = roots.select("domain", "pos", F.posexplode(F.slice(found, 1, most_children)).alias("k", "url"))
     kids = kids.where(F.col("url").contains(F.regexp_replace("domain", r"^www\.", "")))
     place = F.row_number().over(Window.partitionBy("domain").orderBy("pos", "k"))

@@ -68,6 +68,14 @@ def read_rollup(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(body).alias("s")).select(*keys, "s.*").drop("batch")
 
 
+def compact_rollup(spark: SparkSession, folder: str, target: str, keys: list[str]) -> None:
+    """The current roll-up as one batch of a new folder, for a store of many batches; the next run goes on writing there.
+
+    It takes number -1, so that every later batch counts as newer.
+    """
+    read_rollup(spark, folder, keys).write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
 def open_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
     """A table of Parquet files as a stream; ``path`` may be a folder or one file (as a pattern, a file may be a source)."""
     pattern = f"{path[:-1]}[{path[-1]}]"

@@ -20,6 +20,9 @@ def test_rollup_goes_on_where_it_stopped(spark, tmp_path):
     every = [i for a, b in ((0, 12), (9, 20)) for i in range(a, b)]
     want = {h: (sum(i // 6 == h for i in every), float(sum(i for i in every if i // 6 == h))) for h in range(4)}
     assert got == want
+    rollups.compact_rollup(spark, out, str(tmp_path / "small"), ["start", "event_type"])
+    rows = lambda f: sorted(map(tuple, rollups.read_rollup(spark, f, ["start", "event_type"]).collect()))
+    assert rows(str(tmp_path / "small")) == rows(out)
 
 
 def test_day_starts_at_local_midnight(spark):
