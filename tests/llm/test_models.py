@@ -42,12 +42,11 @@ def test_top_k_repeated_ids_and_large_values(spark):
     """Repeated ids are candidates and queries as often as they occur; scores beyond long are given as its ends."""
     same = [(0, [1]), (0, [2]), (0, [3])] + [(0, [9])] * 8 + [(i, [i]) for i in range(1, 11)]
     df = spark.createDataFrame(same, "vec_id long, v array<long>")
-    for shard_rows in (100, 3):
-        got = kdtree.exact_top_k(spark, df, df.where("vec_id = 0 AND v[0] < 3"), 5, shard_rows, 2).collect()
-        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(
-            (k + 1, 10 - k, q * (10 - k)) for q in (1, 2) for k in range(5))
-        got = kdtree.exact_top_k(spark, df, df.where("vec_id = 4"), 9, shard_rows).collect()
-        assert [tuple(r) for r in sorted(got)] == [(4, 1, 10, 40)] + [(4, k, 0, 36) for k in range(2, 10)]
+    got = kdtree.exact_top_k(spark, df, df.where("vec_id = 0 AND v[0] < 3"), 5, 6, 2).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(
+        (k + 1, 10 - k, q * (10 - k)) for q in (1, 2) for k in range(5))
+    got = kdtree.exact_top_k(spark, df, df.where("vec_id = 4"), 9).collect()
+    assert [tuple(r) for r in sorted(got)] == [(4, 1, 10, 40)] + [(4, k, 0, 36) for k in range(2, 10)]
     big = 2**62
     rows = [(0, [big, 1]), (1, [big, 0]), (2, [-big, 0]), (3, [big, 5]), (4, [3, 0]), (5, [2**63 - 1, -(2**63)]), (6, None), (7, [None])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, v array<long>, score string")
