@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import persist, text_of, unused
 from .components import components
+from .tokens import portions
 
 WORDS = 5
 LEAST = 0.8
@@ -113,7 +114,7 @@ def _set_hash(items: np.ndarray) -> bytes:
 
 def _signatures(names: list[str], words: int, bands: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash = MinHash(bands, rows)
-    for batch in batches:
+    for batch in (part for whole in batches for part in portions(whole, "text")):
         hashes, found, sizes = [], [], []
         memo: dict[bytes, np.ndarray] = {}
         for text in batch["text"].to_pylist():

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, crc_bucket, text_of, unused
+from .tokens import portions
 
 CELLS = 1 << 16
 UNDETERMINED = "und"
@@ -128,14 +129,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     names = [id_col, *keep]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.infer(t) if t else ([], [], UNDETERMINED, 0.0) for t in batch["__text"].to_pylist()]
-            langs, shares, lang, score = map(list, zip(*found)) if found else ([], [], [], [])
-            arrays = [batch[c] for c in names] + [
-                pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())),
-            ]
-            yield pa.record_batch(arrays, names=[*names, "lang_pred", "score", "langs", "proportions"])
+        for whole in batches:
+            for batch in portions(whole, "__text"):
+                found = [model.infer(t) if t else ([], [], UNDETERMINED, 0.0) for t in batch["__text"].to_pylist()]
+                langs, shares, lang, score = map(list, zip(*found))
+                arrays = [batch[c] for c in names] + [
+                    pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                    pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())),
+                ]
+                yield pa.record_batch(arrays, names=[*names, "lang_pred", "score", "langs", "proportions"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double, langs array<string>, proportions array<double>")
@@ -161,8 +163,9 @@ def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) ->
     rows = docs.withColumn(own, F.when(text_of("text").rlike(r"\p{L}"), F.col("text")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [bool(t) and (not model.langs or model.infer(t)[3] >= least) for t in batch[own].to_pylist()]
-            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for batch in portions(whole, own):
+                good = [bool(t) and (not model.langs or model.infer(t)[3] >= least) for t in batch[own].to_pylist()]
+                yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
     return rows.mapInArrow(pick, docs.schema)
