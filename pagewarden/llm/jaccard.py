@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist, text_of, unused
+from .common import persist, small_batches, text_of, unused
 from .components import components
-from .tokens import portions
+from .tokens import portions, released
 
 WORDS = 5
 LEAST = 0.8
@@ -224,8 +224,9 @@ def jaccard_join(
     named = source.select("doc_id", F.monotonically_increasing_id().alias("row"), *_text_key(), "text")
     names = ["doc_id", "row", "h1", "h2"]
     kinds = "doc_id long, row long, h1 long, h2 long, set_hash binary, bands array<long>, items int"
-    signed = named.mapInArrow(lambda b: _signatures(names, words, bands, rows, b), kinds)
-    signed = persist(spark, signed, "jaccard-signatures")
+    signed = named.mapInArrow(lambda b: released(_signatures(names, words, bands, rows, b)), kinds)
+    with small_batches(spark):
+        signed = persist(spark, signed, "jaccard-signatures")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "h1", "h2")).alias("rep")
     same = signed.where("items > 0").groupBy("set_hash").agg(
@@ -256,7 +257,7 @@ def jaccard_join(
             keep = [b[c] for c in ("node", "root", "parts", "block", "copies")]
             yield pa.record_batch([*keep, pa.array(sets, pa.binary())], names=["node", "root", "parts", "block", "copies", "items"])
 
-    full = full.mapInArrow(item_sets, "node long, root long, parts int, block int, copies long, items binary")
+    full = full.mapInArrow(lambda b: released(item_sets(b)), "node long, root long, parts int, block int, copies long, items binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = full.select("node", "root", "block", "copies", "items", other)
     dealt = dealt.select(
@@ -264,7 +265,8 @@ def jaccard_join(
     ).dropDuplicates(["node", "i", "j"]) if _repeats(nodes) else dealt.select(
         "node", "root", "block", "copies", "items", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = dealt.groupBy("root", "i", "j").applyInArrow(lambda t: _verify(words, least, t), LINKS)
-    found = persist(spark, found, "jaccard-links")
+    with small_batches(spark):
+        found = persist(spark, found, "jaccard-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     if size.where("parts > 1").isEmpty():
         roots = found.select("node", "root")

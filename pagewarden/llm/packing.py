@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import persist, small_batches, text_of
-from .tokens import END_ID, encoder, portions
+from .tokens import END_ID, encoder, portions, released
 
 CAPACITY = 2048
 
@@ -248,24 +248,33 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 
 def _pieces(vocabulary: str | None, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Encode, cut, and number the pieces of each length within the task."""
+    """Encode, cut, and number the pieces of each length within the task.
+
+    The encoder's cache goes with the task: hundreds of MB for two waiting workers, and little use to the next task.
+    """
     context = TaskContext.get()
     task = context.partitionId() if context else 0
     seen = np.zeros(capacity + 1, np.int64)
-    for whole in batches:
-        for batch in portions(whole, "text"):
-            ids, bounds = encoder(vocabulary).encode(batch["text"])
-            out: list[tuple] = []
-            for doc, a, b in zip(batch["doc_id"].to_pylist(), bounds[:-1], bounds[1:]):
-                body = np.append(ids[a:b], END_ID).astype("<u4")
-                start = 0
-                for piece, n in enumerate(cut(len(body), capacity)):
-                    out.append((doc, piece, start, n, zlib.crc32(body[start : start + n].tobytes()), task, int(seen[n])))
-                    seen[n] += 1
-                    start += n
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "task", "place")
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
+    coder = None
+    try:
+        for whole in batches:
+            for batch in portions(whole, "text"):
+                coder = encoder(vocabulary)
+                ids, bounds = coder.encode(batch["text"])
+                out: list[tuple] = []
+                for doc, a, b in zip(batch["doc_id"].to_pylist(), bounds[:-1], bounds[1:]):
+                    body = np.append(ids[a:b], END_ID).astype("<u4")
+                    start = 0
+                    for piece, n in enumerate(cut(len(body), capacity)):
+                        out.append((doc, piece, start, n, zlib.crc32(body[start : start + n].tobytes()), task, int(seen[n])))
+                        seen[n] += 1
+                        start += n
+                names = ("doc_id", "piece", "start", "length", "ids_crc32", "task", "place")
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
+    finally:
+        if coder:
+            coder.forget()
 
 
 def pack(
@@ -280,7 +289,7 @@ def pack(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     with small_batches(spark):
-        pieces = persist(spark, rows.mapInArrow(lambda b: _pieces(vocabulary, capacity, b), PIECES), "pack-pieces")
+        pieces = persist(spark, rows.mapInArrow(lambda b: released(_pieces(vocabulary, capacity, b)), PIECES), "pack-pieces")
     counts = persist(spark, pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     places = Places(plan(histogram, capacity).configurations)

@@ -9,8 +9,10 @@ followed by white space (where the pattern looks ahead) go to the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 from itertools import chain
 
@@ -32,10 +34,23 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(maxsize=1)
 def encoder(path: str | None = None) -> Encoder:
-    """The encoder of this process: its cache serves all tasks of a Python worker."""
+    """The encoder of this process; it serves all tasks of a Python worker."""
     return Encoder(path)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at their end memory that is free returns to the system.
+
+    A worker keeps what its allocators hold while it waits, also while other stages run.
+    """
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, TypeError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def portions(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most_bytes`` of text (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
@@ -64,9 +79,10 @@ class Encoder:
         size = self.tok.get_vocab_size()
         # In byte-level vocabularies a token that begins with a blank is spelt with U+0120.
         self.opens = np.array([(self.tok.id_to_token(i) or "")[:1] == "\u0120" for i in range(size)])
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache of pieces; what is encoded later has the same ids."""
         self.at: dict[str, int] = {}
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
