@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import persist, small_batches, text_of
-from .tokens import END_ID, encoder, portions, released
+from .tokens import END_ID, encoder, gathered, portions, released
 
 CAPACITY = 2048
 
@@ -257,7 +257,7 @@ def _pieces(vocabulary: str | None, capacity: int, batches: Iterator[pa.RecordBa
     seen = np.zeros(capacity + 1, np.int64)
     coder = None
     try:
-        for whole in batches:
+        for whole in gathered(batches, "text"):
             for batch in portions(whole, "text"):
                 coder = encoder(vocabulary)
                 ids, bounds = coder.encode(batch["text"])

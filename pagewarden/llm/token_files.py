@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import persist, scratch_path, settings, text_of
-from .tokens import END_ID, encoder, portions
+from .tokens import END_ID, encoder, gathered, portions
 
 MAGIC = b"PWTOKMPH"
 #: Bytes of text in a shard, and of ids read at a time.
@@ -163,7 +163,7 @@ ENCODED = "shard int, key long, body binary"
 
 def _encode(vocabulary: str | None, bounds: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of each text with the end id, and the shard of its key (null: the last)."""
-    for batch in batches:
+    for batch in gathered(batches, "text"):
         for part in portions(batch, "text"):
             coder = encoder(vocabulary)
             ids, cuts = coder.encode(part["text"])

@@ -61,11 +61,30 @@ def portions(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> I
             yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, least_bytes: int = 2 << 20, most_rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches of short texts put together up to ``least_bytes`` of text or ``most_rows``; larger batches stay as they are.
+
+    An encoder's lookup takes time by the size of its cache, once in each call.
+    """
+    held, size, rows = [], 0, 0
+    for batch in batches:
+        more = pc.sum(pc.binary_length(batch[column])).as_py() or 0
+        if held and (size + more > least_bytes or rows + batch.num_rows > most_rows):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size, rows = [], 0, 0
+        held.append(batch)
+        size, rows = size + more, rows + batch.num_rows
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Encoder:
     """``encode(texts)`` gives (ids uint32 array, offsets int64 array of len+1).
 
     ``cache_pieces`` bounds the number of cached pieces; once it is reached, new
     pieces are encoded anew in each call, which costs time and changes no result.
+    Pieces stay Arrow strings from the cut to the lookup: a Python object for each
+    distinct piece of a batch takes longer than all else but the encoding.
     """
 
     def __init__(self, path: str | None = None, cache_pieces: int = 400_000):
@@ -83,7 +102,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Empty the cache of pieces; what is encoded later has the same ids."""
-        self.at: dict[str, int] = {}
+        self.at = pa.array([], pa.large_string())
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
@@ -92,13 +111,14 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: pa.Array) -> None:
         """Encode new pieces, each with a blank in front, joined in long texts."""
         n = len(self.at)
         coded = []  # in blocks: an encoding takes far more memory than its ids
         for i in range(0, len(pieces), 10_000):
-            block = "".join([" " + p for p in pieces[i : i + 10_000]])
-            coded.append(np.array(self._whole([block])[0], np.uint32))
+            block = pieces.slice(i, 10_000).cast(pa.string())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), block), " ")
+            coded.append(np.array(self._whole([" " + joined[0].as_py()])[0], np.uint32))
         flat = np.concatenate(coded)
         begins = np.flatnonzero(self.opens[flat])
         if len(begins) != len(pieces):
@@ -112,7 +132,7 @@ class Encoder:
         self.size[n : n + len(pieces)] = np.diff(begins, append=len(flat))
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.at.update(zip(pieces, range(n, n + len(pieces))))
+        self.at = pa.concat_arrays([self.at, pieces])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``texts``: an Arrow array of strings; null and empty texts have no ids."""
@@ -135,12 +155,12 @@ class Encoder:
         head_ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(head_sizes.sum()))
 
         words = pieces.filter(pa.array(~first)).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        kept, used = len(self.at), self.used
-        new = [w for w in distinct if w not in self.at]
-        if new:
-            self._learn(new)
-        where = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+        kept, used = self.at, self.used
+        where = pc.fill_null(pc.index_in(words.dictionary, value_set=kept), -1).to_numpy().astype(np.int64)
+        new = where < 0
+        if new.any():
+            where[new] = len(kept) + np.arange(int(new.sum()))
+            self._learn(words.dictionary.filter(pa.array(new)))
         slot = where[words.indices.to_numpy()]
         # Sources of all runs of ids, in order: per text its head, then its words.
         start, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
@@ -151,8 +171,5 @@ class Encoder:
         ids = source[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]))]
         offsets = np.concatenate([[0], ends])[bounds]
         if len(self.at) > self.cache_pieces:  # full: forget what this call added
-            for w in new:
-                del self.at[w]
-            self.used = used
-            assert len(self.at) == kept
+            self.at, self.used = kept, used
         return ids, offsets
