@@ -1,10 +1,12 @@
-"""Token ids of whole texts with the ``tokenizers`` library, with a word cache.
-
-The byte-level pattern of the vocabulary never lets a pre-token run across a
-blank that is followed by a non-blank, so a text may be cut before such blanks,
-the distinct pieces encoded once by the library, and the ids put back together.
-The ids equal those of encoding the text in one call.  Texts in which a blank is
-followed by white space (where the pattern looks ahead) go to the library whole.
+"""Token ids of whole texts with the ``tokenizers`` library, with a cache of pieces.
+
+The byte-level pattern of the vocabulary looks ahead only within white space and
+never behind, so a text may be cut where one of its pre-tokens must end (see
+``_begins``), the distinct pieces encoded once by the library, and the ids put
+back together.  The ids equal those of encoding the text in one call.  Texts in
+which a blank is followed by white space or ends a run of it (where the pattern
+looks ahead) go to the library whole, as do all texts where a vocabulary splits
+by another pattern.
 """
 
 from __future__ import annotations
@@ -23,7 +25,36 @@ import pyarrow.compute as pc
 END_ID = 0
 # The vocabulary file this engine uses unless told otherwise.
 VOCABULARY = "byte_bpe_50k.json"
-_UNSAFE = r" [\s\pZ\x{85}\x{1c}-\x{1f}]"
+_SPACE = r"\s\pZ\x0b\x{85}\x{1c}-\x{1f}"
+_UNSAFE = rf" [{_SPACE}]|[{_SPACE}] $"
+_JOINED = rf"^ ?[^{_SPACE}]+$"
+#: Classes of bytes; those of longer characters and of digits are in none.
+_BLANK, _LETTER, _SIGN, _WHITE = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+for _first, _last, _kind in ((ord("a"), ord("z"), _LETTER), (ord("A"), ord("Z"), _LETTER), (ord("0"), ord("9"), 0), (0x09, 0x0D, _WHITE)):
+    _CLASS[_first : _last + 1] = _kind
+_CLASS[0x20] = _BLANK
+
+
+def _begins(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 text whether a piece may begin there: before a blank, between a
+    letter and an ASCII sign, and on both sides of one other white space after a letter or sign.
+
+    Letters are those of ASCII and Latin-1.  The answer for the first bytes of a
+    text may come from the text before; they begin a piece in any case or follow
+    one that does.
+    """
+    kind = _CLASS[data]
+    latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # not the signs for times and divided by
+    kind[1:][latin] = _LETTER
+    letter, sign, white = kind == _LETTER, kind == _SIGN, kind == _WHITE
+    out = kind == _BLANK
+    out[1:] |= (letter[:-1] & sign[1:]) | ((letter[:-1] | sign[:-1]) & white[1:])
+    plain = letter | sign
+    plain[1:][latin] = False  # the second byte begins no character
+    out[2:] |= (letter | sign)[:-2] & white[1:-1] & plain[2:]
+    return out
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -91,13 +122,18 @@ class Encoder:
         # One thread for each task; Spark's tasks are the parallelism.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path or vocabulary_path())
         self.tok.encode_special_tokens = True
         self.cache_pieces = cache_pieces
         size = self.tok.get_vocab_size()
-        # In byte-level vocabularies a token that begins with a blank is spelt with U+0120.
+        # In byte-level vocabularies a token that begins with a blank is spelt with U+0120, a new line U+010A.
         self.opens = np.array([(self.tok.id_to_token(i) or "")[:1] == "\u0120" for i in range(size)])
+        self.line = self.tok.token_to_id("\u010a")
+        splits, added = self.tok.pre_tokenizer, self.tok.get_added_tokens_decoder().values()
+        usual = isinstance(splits, ByteLevel) and splits.use_regex and not splits.add_prefix_space
+        self.cuts = usual and self.line is not None and self.tok.normalizer is None and all(t.special for t in added)
         self.forget()
 
     def forget(self) -> None:
@@ -111,47 +147,79 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, pieces: pa.Array, blank: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and how many each has; none holds white space but for a blank in front of all (``blank``).
+
+        They are encoded in joined texts, since each text takes time of its own; in
+        texts of 200 pieces an id takes less time than in longer ones.
+        """
+        coded, sizes = [], []
+        for i in range(0, len(pieces), 200):
+            block = pieces.slice(i, 200).cast(pa.string())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), block), "" if blank else "\n")
+            ids = np.array(self._whole([joined[0].as_py()])[0], np.uint32)
+            begins = np.flatnonzero(self.opens[ids]) if blank else np.append(0, np.flatnonzero(ids == self.line) + 1)
+            if len(begins) != len(block):
+                raise ValueError("a piece does not begin where it should: not a byte-level vocabulary")
+            sizes.append(np.diff(begins, append=len(ids)))
+            if not blank:
+                sizes[-1][:-1] -= 1
+                ids = ids[ids != self.line]
+            coded.append(ids)
+        return np.concatenate([*coded, np.zeros(0, np.uint32)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
+
     def _learn(self, pieces: pa.Array) -> None:
-        """Encode new pieces, each with a blank in front, joined in long texts."""
+        """Encode new pieces; those that hold white space one by one."""
         n = len(self.at)
-        coded = []  # in blocks: an encoding takes far more memory than its ids
-        for i in range(0, len(pieces), 10_000):
-            block = pieces.slice(i, 10_000).cast(pa.string())
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), block), " ")
-            coded.append(np.array(self._whole([" " + joined[0].as_py()])[0], np.uint32))
-        flat = np.concatenate(coded)
-        begins = np.flatnonzero(self.opens[flat])
-        if len(begins) != len(pieces):
-            raise ValueError("a piece does not begin with its blank: not a byte-level vocabulary")
+        joins = pc.match_substring_regex(pieces, _JOINED)
+        blank = pc.and_(joins, pc.starts_with(pieces, " "))
+        rest = pieces.filter(pc.invert(joins))
+        single = self._whole(rest.to_pylist())
+        parts = [pieces.filter(blank), pieces.filter(pc.and_not(joins, blank)), rest]
+        coded = [self._joined(parts[0], True), self._joined(parts[1], False)]
+        coded.append((np.fromiter(chain.from_iterable(single), np.uint32), np.fromiter(map(len, single), np.int64, len(single))))
+        flat, size = (np.concatenate(c) for c in zip(*coded))
+        # Back to the order in which the pieces came.
+        order = np.concatenate([np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in (blank, pc.and_not(joins, blank), pc.invert(joins))])
         if n + len(pieces) > len(self.start):
             more = max(len(self.start), len(pieces))
             self.start, self.size = (np.concatenate([a, np.zeros(more, np.int64)]) for a in (self.start, self.size))
         if self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
-        self.start[n : n + len(pieces)] = self.used + begins
-        self.size[n : n + len(pieces)] = np.diff(begins, append=len(flat))
+        self.start[n + order] = self.used + np.cumsum(size) - size
+        self.size[n + order] = size
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.at = pa.concat_arrays([self.at, pieces])
 
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and where those of each text begin."""
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        ends = offsets - offsets[0]
+        if not ends[-1]:
+            return pa.array([], pa.large_string()), np.zeros(n + 1, np.int64)
+        data = texts.buffers()[2].slice(int(offsets[0]), int(ends[-1]))
+        begin = _begins(np.frombuffer(data, np.uint8))
+        whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False) if self.cuts else np.ones(n, bool)
+        for k in np.flatnonzero(whole).tolist():
+            begin[ends[k] : ends[k + 1]] = False
+        begin[ends[:-1][ends[1:] > ends[:-1]]] = True
+        at = np.append(np.flatnonzero(begin), ends[-1])
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data), np.searchsorted(at, ends)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``texts``: an Arrow array of strings; null and empty texts have no ids."""
         texts = pc.fill_null(pa.array(texts, pa.large_string()), "")
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        unsafe = pc.match_substring_regex(texts, _UNSAFE)
-        cut = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
-        bounds = cut.offsets.to_numpy().astype(np.int64)
-        bounds -= bounds[0]
-        pieces = cut.flatten()
-        # The first piece of a text has no blank in front; unsafe texts count as one first piece.
+        pieces, bounds = self._cut(texts)
+        # The first piece of a text is not kept: it may be a whole text.
         first = np.zeros(len(pieces), bool)
-        first[bounds[:-1]] = True
-        heads = pc.if_else(unsafe, texts, pc.take(pieces, pa.array(bounds[:-1]))).to_pylist()
-        coded = self._whole(heads)
-        coded = [c if h else [] for c, h in zip(coded, heads)]
-        head_sizes = np.fromiter(map(len, coded), np.int64, n)
+        first[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+        coded = self._whole(pieces.filter(pa.array(first)).to_pylist())
+        head_sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         head_ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(head_sizes.sum()))
 
         words = pieces.filter(pa.array(~first)).dictionary_encode()
@@ -168,7 +236,7 @@ class Encoder:
         start[first], size[first] = self.used + np.cumsum(head_sizes) - head_sizes, head_sizes
         ends = np.cumsum(size)
         source = np.concatenate([self.flat[: self.used], head_ids])
-        ids = source[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]))]
+        ids = source[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
         offsets = np.concatenate([[0], ends])[bounds]
         if len(self.at) > self.cache_pieces:  # full: forget what this call added
             self.at, self.used = kept, used

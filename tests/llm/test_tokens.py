@@ -51,6 +51,44 @@ def test_encoder_over_calls(plain):
         assert len(coder.at) == known
 
 
+def test_signs_and_lines_part_pieces(plain, monkeypatch):
+    """For op4_token_files: a word before any sign or line end is one piece, and no long text goes to the library for new pieces."""
+    given, real = [], Encoder._whole
+    monkeypatch.setattr(Encoder, "_whole", lambda self, texts: given.extend(texts) or real(self, texts))
+    words = ["".join(chr(97 + (k // 26**i + 7 * i) % 26) for i in range(5)) + "\u00e9" * (k % 2) for k in range(1000)]
+    text = "- " + " ".join(f"{w}{end}" for w in words for end in ("", ".", ",", "!\nThe", "\nThe", "'s"))
+    ids, _ = Encoder().encode(pa.array([text]))
+    assert ids.tolist() == plain(text)
+    assert max(map(len, given)) < 3_000 and sum(map(len, given)) < 1.5 * sum(len(w) + 1 for w in words)
+
+
+def test_encoder_against_library(plain):
+    """Random texts of characters that the pattern treats apart."""
+    rng = np.random.default_rng(4)
+    parts = [*"abZ09 \n\t\r\x0b\x0c.,'\"-_/", "\u00e9", "\u00f7", "\u00d7", "\u00df", "\u0301", "\xa0", "\u2003", "\x85", "\x1c", "\u200b", "\u65e5", "\u00b2", "\u00aa",
+             "  ", "\n\n", "\r\n", "'s", "'ll", "don't", "<|endoftext|>", "\u0120", "\u010a", "Wort"]
+    solid = [p for p in parts if p.strip()]
+    coder = Encoder()
+    for _ in range(30):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 20))) for _ in range(50)] + [None] + [" ".join(rng.choice(solid, 20)) for _ in range(50)]
+        ids, bounds = coder.encode(pa.array(texts).slice(3))
+        for k, t in enumerate(texts[3:]):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == plain(t), repr(t)
+
+
+def test_other_vocabularies_get_whole_texts(tmp_path):
+    """A vocabulary whose tokens run across blanks cannot be fed pieces."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = {c: k for k, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    vocabulary |= {"a\u0120": 256, "a\u0120b": 257}
+    tok = Tokenizer(models.BPE(vocabulary, [("a", "\u0120"), ("a\u0120", "b")]))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tok.save(str(tmp_path / "other.json"))
+    ids, bounds = Encoder(str(tmp_path / "other.json")).encode(pa.array(["a b", None, "ba b a"]))
+    assert ids.tolist() == [257, *tok.encode("ba b a").ids] and bounds.tolist() == [0, 1, 1, len(ids)]
+
+
 def test_short_texts_are_gathered(monkeypatch):
     """A call looks through the whole cache, so batches of short texts share one."""
     calls, real = [], Encoder.encode
