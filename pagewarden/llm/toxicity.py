@@ -132,16 +132,17 @@ def train(
     Several labels of a document count as the highest.  Features occur in
     ``least_yes`` toxic documents or more, ``least_z`` deviations above what
     chance gives; the best ``most_features`` are weighed, ``voters`` of them vote.
-    What comes to the driver is bounded by these parameters.  Without any labelled
-    row all scores are those of the fixed lexicon.
+    What comes to the driver is bounded by these parameters.  Without a row to fit
+    on, or any label, all scores are those of the fixed lexicon.
     """
     fold = crc_bucket("doc_id", 5) != 0 if where is None else where
     every = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     gold = bounded_sample(every.where(fold), "doc_id", sample_rows)
     ones, n = gold.agg(F.sum((F.col("toxic") > 0).cast("int")), F.count(F.lit(1))).first()
     fixed = ["=" + w for w in LEXICON]
+    plain = Scorer({f: 6.0 for f in fixed}, -3.0)
     if not n or not ones:
-        return Scorer({f: 6.0 for f in fixed}, -3.0)
+        return plain
     rate = ones / n
     other = docs.select("doc_id").where(F.col("doc_id").isNotNull() & fold).distinct().join(every.select("doc_id"), "doc_id", "left_anti")
     other = bounded_sample(other, "doc_id", unlabelled_rows).withColumn("toxic", F.lit(None).cast("int"))
@@ -176,6 +177,8 @@ def train(
 
     table = sample.mapInArrow(hits, "hits array<int>, toxic int").toArrow()
     found = [np.array(sorted(x), np.int64) for x in table["hits"].to_pylist()]
+    if not found:  # labels of other documents only
+        return plain
     y = table["toxic"].fill_null(-1).to_numpy()  # -1: no label
     order = sorted(range(len(found)), key=lambda k: (found[k].tobytes(), int(y[k])))  # the same fit in each run
     found, y = [found[k] for k in order], y[order]

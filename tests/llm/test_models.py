@@ -278,6 +278,15 @@ def test_toxicity(spark, docs_of):
     assert toxicity.score_toxicity(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_without_a_row_to_fit_on(spark, docs_of):
+    """For op10_toxicity: labels that are all of other documents leave the fixed lexicon, not a model fitted to nothing."""
+    docs = docs_of([(None, "you idiot"), (None, "a fine day"), (None, None)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 21)], "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs, labels).collect()
+    assert sorted(r["predicted"] for r in rows) == [0, 0, 1]
+    assert sorted(r["score"] for r in rows) == sorted(r["score"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect())
+
+
 def brute_posterior(votes, prior, rounds=30):
     """The label model, row by row."""
     n, m = votes.shape
