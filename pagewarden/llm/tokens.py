@@ -35,6 +35,8 @@ _CLASS[0x21:0x7F] = _SIGN
 for _first, _last, _kind in ((ord("a"), ord("z"), _LETTER), (ord("A"), ord("Z"), _LETTER), (ord("0"), ord("9"), 0), (0x09, 0x0D, _WHITE)):
     _CLASS[_first : _last + 1] = _kind
 _CLASS[0x20] = _BLANK
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _begins(data: np.ndarray) -> np.ndarray:
@@ -109,6 +111,64 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, least_bytes: int =
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+class PieceTable:
+    """Places of cached pieces, by their bytes (up to 16) in open addressing; longer pieces are few and looked up by Arrow.
+
+    Arrow's own lookup builds a table of the whole cache in each call.
+    """
+
+    def __init__(self, most: int):
+        self.bits = max(10, int(2.5 * most).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.low, self.high, self.length = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.long, self.long_at = pa.array([], pa.large_string()), np.zeros(0, np.int64)
+
+    def keys(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and second eight bytes of each piece, its length, and the slot where its search begins."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data = np.append(np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.zeros(16, np.uint8))
+        words = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+        at, length = offsets[:-1] - offsets[0], np.diff(offsets)
+        low, high = words[at] & _FIRST[np.minimum(length, 8)], words[at + 8 * (length > 8)] & _FIRST[np.clip(length - 8, 0, 8)]
+        h = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (high ^ (high >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return low, high, length, (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """The places of the pieces, -1 for those that are not there."""
+        out = np.full(len(pieces), -1, np.int64)
+        if not len(pieces):
+            return out
+        low, high, length, slot = self.keys(pieces)
+        todo = np.flatnonzero(length <= 16)
+        while len(todo):
+            place = self.slots[slot[todo]]
+            todo, place = todo[place >= 0], place[place >= 0]
+            same = (self.low[place] == low[todo]) & (self.high[place] == high[todo]) & (self.length[place] == length[todo])
+            out[todo[same]] = place[same]
+            todo = todo[~same]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+        more = np.flatnonzero(length > 16)
+        if len(more) and len(self.long):
+            there = pc.fill_null(pc.index_in(pieces.take(pa.array(more)), value_set=self.long), -1).to_numpy()
+            out[more] = np.where(there < 0, -1, self.long_at[there])
+        return out
+
+    def add(self, pieces: pa.Array) -> None:
+        """New pieces, all different, at the places that follow."""
+        n = len(self.low)
+        low, high, length, slot = self.keys(pieces)
+        self.low, self.high, self.length = (np.append(a, b) for a, b in ((self.low, low), (self.high, high), (self.length, length)))
+        todo = np.flatnonzero(length <= 16)
+        while len(todo):
+            free = todo[self.slots[slot[todo]] < 0]
+            self.slots[slot[free]] = n + free
+            todo = todo[self.slots[slot[todo]] != n + todo]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+        more = np.flatnonzero(length > 16)
+        self.long, self.long_at = pa.concat_arrays([self.long, pieces.take(pa.array(more))]), np.append(self.long_at, n + more)
+
+
 class Encoder:
     """``encode(texts)`` gives (ids uint32 array, offsets int64 array of len+1).
 
@@ -139,6 +199,7 @@ class Encoder:
     def forget(self) -> None:
         """Empty the cache of pieces; what is encoded later has the same ids."""
         self.at = pa.array([], pa.large_string())
+        self.table = PieceTable(self.cache_pieces)
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
@@ -224,7 +285,7 @@ class Encoder:
 
         words = pieces.filter(pa.array(~first)).dictionary_encode()
         kept, used = self.at, self.used
-        where = pc.fill_null(pc.index_in(words.dictionary, value_set=kept), -1).to_numpy().astype(np.int64)
+        where = self.table.find(words.dictionary)
         new = where < 0
         if new.any():
             where[new] = len(kept) + np.arange(int(new.sum()))
@@ -240,4 +301,6 @@ class Encoder:
         offsets = np.concatenate([[0], ends])[bounds]
         if len(self.at) > self.cache_pieces:  # full: forget what this call added
             self.at, self.used = kept, used
+        elif new.any():
+            self.table.add(words.dictionary.filter(pa.array(new)))
         return ids, offsets

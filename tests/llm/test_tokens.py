@@ -9,7 +9,7 @@ import pytest
 from pagewarden.llm import packing as K
 from pagewarden.llm import token_files as T
 from pagewarden.llm.common import scratch_path
-from pagewarden.llm.tokens import Encoder, vocabulary_path
+from pagewarden.llm.tokens import Encoder, PieceTable, vocabulary_path
 
 ODD = ["a  b", "a   b\n c \n d", " lead", "trail ", "\n \n", "don't  stop", "<|endoftext|> a <|endoftext|>", "é  b", "x  y", "\x1c \x1d", "日本 語 テスト", "  ", "a" * 5000]
 
@@ -62,6 +62,21 @@ def test_signs_and_lines_part_pieces(plain, monkeypatch):
     assert max(map(len, given)) < 3_000 and sum(map(len, given)) < 1.5 * sum(len(w) + 1 for w in words)
 
 
+def test_piece_table():
+    """For op4_token_files: known pieces are found by their bytes, whatever their length, without a pass over the cache."""
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice([*"ab\0", "\u00e9"], n)) for n in rng.integers(1, 14, 4000)] + ["x" * n for n in range(1, 40)] + ["a", "a\0", "\0a"]
+    made = list(dict.fromkeys(made))
+    table = PieceTable(len(made) // 2)  # fuller than an encoder lets it be
+    array = pa.array(made, pa.large_string())
+    for a, b in ((0, 1), (1, 50), (50, 1200)):
+        table.add(array.slice(a, b - a))
+    assert table.find(array).tolist() == [k if k < 1200 else -1 for k in range(len(made))]
+    table.add(array.slice(1200))
+    assert table.find(array.take(pa.array(range(len(made))[::-1]))).tolist() == list(range(len(made)))[::-1]
+    assert table.find(array.slice(0, 0)).tolist() == []
+
+
 def test_encoder_against_library(plain):
     """Random texts of characters that the pattern treats apart."""
     rng = np.random.default_rng(4)
