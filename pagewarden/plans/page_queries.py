@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import domains as D
 from ..functions import patterns as P
 from ..functions import text as X
+from ..operators.census import count_matching
 from ..operators.classify import biz_type
 from ..operators.contacts import extract_contacts
 from .registry import query
@@ -192,5 +193,4 @@ SIGNATURES = {"strong": P.ALL_STRONG, "weak": P.ALL_WEAK, "deface": P.RX_DEFACE,
 @query("signature_documents", " UNION ALL ".join(_signature_sql(n, p) for n, p in SIGNATURES.items()))
 def signature_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many whole documents the signature lists match: the cost of the library itself."""
-    rows = table(spark, sf_dir, "documents").agg(*[F.count_if(X.has_match(F.col("text"), p)).alias(n) for n, p in SIGNATURES.items()])
-    return rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("list"), F.col(n).alias("docs")) for n in SIGNATURES])))
+    return count_matching(table(spark, sf_dir, "documents"), "text", SIGNATURES)
