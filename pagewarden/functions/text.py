@@ -120,8 +120,36 @@ def _together(parts: list[str], deep: int) -> str:
     return "|".join(out)
 
 
+def guarded(pattern: str, deep: int = 4, few: int = 4) -> str:
+    """As :func:`by_beginning`, with a look at the next character before the alternatives of ``few`` first characters.
+
+    The looks halve the characters, so that a place costs some looks instead of
+    a try of each beginning.  They are blind to case as the pattern is; a first
+    character outside ASCII is let through by all of those.
+    """
+    firsts: dict[str, list[str]] = {}
+    for part in alternatives(pattern):
+        rest = part.removeprefix("\\b")
+        plain = rest[:1] and (rest[0].isalnum() or rest[0] in " -") and rest[1:2] not in ("*", "+", "?", "{")
+        first = rest[0].lower() if plain else ""
+        if plain and not rest[0].isascii():
+            forms = rest[0] + rest[0].lower() + rest[0].upper() + rest[0].upper().lower()
+            first = "" if any(c.isascii() for c in forms) else "far"
+        firsts.setdefault(first, []).append(part)
+    others, far = firsts.pop("", []), firsts.pop("far", [])
+
+    def looks(keys: list[str]) -> str:
+        half = len(keys) // 2
+        inner = _together([x for k in keys for x in firsts[k]], deep) if len(keys) <= few else looks(keys[:half]) + "|" + looks(keys[half:])
+        return f"(?=[{''.join(keys).replace('-', chr(92) + '-')}])(?:{inner})"
+
+    out = [looks(sorted(firsts))] if firsts else []
+    out += [rf"(?=(?-iu:[^\x00-\x7f]))(?:{_together(far, deep)})"] if far else []
+    return "|".join([*out, _together(others, deep)] if others else out)
+
+
 def has_match(text: Column, pattern: str) -> Column:
-    return text.rlike(f"{FLAGS}(?:{by_beginning(pattern)})")
+    return text.rlike(f"{FLAGS}(?:{guarded(pattern)})")
 
 
 def distinct_matches(text: Column, pattern: str) -> Column:

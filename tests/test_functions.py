@@ -105,3 +105,18 @@ def test_alternatives_put_together(spark):
         rows = df.select("t", X.has_match(F.col("t"), pattern).alias("fast"), F.col("t").rlike(X.FLAGS + pattern).alias("plain")).collect()
         assert [r["t"] for r in rows if r["fast"] != r["plain"]] == []
     assert X.alternatives("a|(b|c)|[|]|(?:d|e)") == ["a", "(b|c)", "[|]", "d", "e"] and X.by_beginning("ab|ac|b") == "a(?:b|c)|b"
+
+
+def test_guarded_alternatives(spark):
+    """A look at the next character goes before the alternatives; the same texts match, beside letters of other cases too."""
+    from pagewarden.functions import patterns as P
+
+    assert X.guarded(r"ab|\bac|b|-c|да|[x]|d?e", few=2) == r"(?=[\-ab])(?:(?=[\-])(?:-c)|(?=[ab])(?:ab|\bac|b))|(?=(?-iu:[^\x00-\x7f]))(?:да)|[x]|d?e"
+    lists = (P.ALL_STRONG, P.ALL_WEAK, P.RX_DEFACE, P.RX_MALJS, P.RX_SLUG_SPAM, P.RX_WAF, "İx|ıy|ßz|ſa|Kb|µc|ÿd|σe|ςf|Åg|-h| i|1j")
+    words = ["İx", "ix", "ıy", "Iy", "iy", "ßz", "ẞz", "ssz", "ſa", "sa", "SA", "Kb", "kb", "KB", "µc", "μc", "Μc", "ÿd", "Ÿd", "σe", "ςE", "Σf", "Åg", "Åg", "åG", "-h",
+             " I", "1j", "ſlot gacor", "Kasino", "KAſINO", "İnto judi", "NỔ HŨ", "Đá Gà", "ⅹxx", "sikiş", "éjudi", "ПЕРВЫЕ СТАВКИ НА СПОРТ", "कैसीनो", "\U0001f3b0judi"]
+    for pattern in lists:
+        bare = [p.replace("\\b", "") for p in X.alternatives(pattern)]
+        rows = spark.createDataFrame([(w,) for p in bare for w in (p, p.upper(), p.swapcase() + " ", "x" + p, p[1:])] + [(w,) for w in words], "t string")
+        got = rows.select("t", X.has_match(F.col("t"), pattern).alias("fast"), F.col("t").rlike(X.FLAGS + pattern).alias("plain")).collect()
+        assert [r["t"] for r in got if r["fast"] != r["plain"]] == [] and any(r["plain"] for r in got)
